@@ -30,7 +30,7 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     source whose cap/weight reaches its level ends the capped prefix.
 
     The windows run over one row per source, in running frames that hold no
-    partition in memory.
+    partition in memory; only three sums come to the driver.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
@@ -43,26 +43,15 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
         .withColumn("most", F.col("source_size") * F.lit(float(cap)))
         .withColumn("ratio", F.col("most") / F.col("weight"))
     )
-    total = per_source.agg(
-        F.coalesce(F.sum("source_size"), F.lit(0)).alias("all_size"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("all_weight")
-    )
-    levels = (
-        per_source.crossJoin(F.broadcast(total))  # one row
-        .withColumn(
-            "level",
-            (F.lit(float(share)) * F.col("all_size") - F.coalesce(F.sum("most").over(before), F.lit(0.0)))
-            / (F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0.0))),
-        )
-    )
-    level = levels.where("ratio >= level").agg(F.min(F.struct("ratio", "level"))["level"].alias("final"))
-    return (
-        per_source.crossJoin(F.broadcast(level))  # one row
-        .select(
-            "source",
-            "source_size",
-            F.coalesce(F.least("most", F.col("final") * F.col("weight")), F.col("most")).alias("target"),
-        )
+    per_source = checkpointed(per_source)
+    all_size, all_weight = per_source.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(float(share)) * F.lit(all_size or 0) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (
+        F.lit(all_weight or 0.0) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     )
+    levels = per_source.withColumn("level", level).where("ratio >= level")
+    final = levels.agg(F.min(F.struct("ratio", "level"))["level"]).first()[0]
+    target = F.col("most") if final is None else F.least("most", F.lit(final) * F.col("weight"))
+    return per_source.select("source", "source_size", target.alias("target"))
 
 
 def uniform(seed: str, *cols: Column) -> Column:

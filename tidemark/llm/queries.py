@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, quality, secrets
+from tidemark.llm import media, mixing, packing, quality, secrets, token_counts
 from tidemark.llm.common import table
 
 QUERIES = {}
@@ -170,3 +170,32 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
        sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans
 FROM d LEFT JOIN joined USING (r)
 """
+
+
+@query("op1_token_counts")
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.suffix_sums(token_counts.histogram(token_counts.encoded_lengths(docs)))
+
+
+@query("op5_packing")
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op10_media")
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.stored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return media.media_index(stored).select(
+        "doc_id",
+        "n_bytes",
+        "payload_bytes",
+        "payload_sha256",
+        "tail_crc32",
+        "media_bytes",
+        "media_sha256",
+        "feature",
+        "codec",
+        "duration",
+        F.size("key_offsets").cast("long").alias("n_keys"),
+    )
