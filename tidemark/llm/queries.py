@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import media, mixing, packing, quality, secrets, token_counts
+from tidemark.llm import media, mixing, packing, quality, secrets, simhash, token_counts
 from tidemark.llm.common import table
 
 QUERIES = {}
@@ -199,3 +199,9 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         "duration",
         F.size("key_offsets").cast("long").alias("n_keys"),
     )
+
+
+@query("op8_simhash")
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.clusters(docs).select("doc_id", "fingerprint", "component_id")
