@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import media, mixing, packing, quality, secrets, simhash, token_counts
+from tidemark.llm import langid, media, mixing, packing, quality, secrets, simhash, token_counts, urlfilter
 from tidemark.llm.common import table
 
 QUERIES = {}
@@ -205,3 +205,46 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.clusters(docs).select("doc_id", "fingerprint", "component_id")
+
+
+#: The rules of the contract and the listed names of this corpus.
+URL_RULES = ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")
+LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_DOMAINS = tuple(f"{name}.example.{top}" for name in LISTED_NAMES for top in ("com", "net", "org"))
+
+
+@query("op2_url_filter")
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = spark.createDataFrame([(x,) for x in LISTED_DOMAINS], "key string")
+    return urlfilter.judged(pages, listed, list(URL_RULES)).select("page_id", "host", "path", "rule", "listed", "verdict")
+
+
+def _rules_sql() -> str:
+    rows = ", ".join(f"('{r.text}', '{r.host}', '{r.path}', '{r.verdict}')" for r in map(urlfilter.parse_rule, URL_RULES))
+    return f"(VALUES {rows}) AS rules(text, host, path, verdict)"
+
+
+SQL["op2_url_filter"] = f"""
+WITH u AS (
+  SELECT row_number() OVER () AS r, page_id,
+         translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{urlfilter.UPPER}', '{urlfilter.LOWER}') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), fit AS (
+  SELECT u.r, arg_max(rules.text, length(rules.text)) AS rule, arg_max(rules.verdict, length(rules.text)) AS verdict
+  FROM u, {_rules_sql()}
+  WHERE (u.host = rules.host OR ends_with(u.host, '.' || rules.host)) AND starts_with(u.path, rules.path) GROUP BY u.r
+), hit AS (
+  SELECT DISTINCT u.r FROM u, (VALUES {", ".join(f"('{x}')" for x in LISTED_DOMAINS)}) AS listed(d)
+  WHERE u.host = listed.d OR ends_with(u.host, '.' || listed.d)
+)
+SELECT page_id, host, path, rule, hit.r IS NOT NULL AS listed, coalesce(verdict, CASE WHEN hit.r IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN fit USING (r) LEFT JOIN hit USING (r)
+"""
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predicted(docs, langid.fit(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits", "rejected")
