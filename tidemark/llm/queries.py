@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, media, mixing, packing, quality, secrets, simhash, token_counts, urlfilter
+from tidemark.llm import langid, media, mixing, packing, quality, secrets, simhash, token_counts, toxicity, urlfilter
 from tidemark.llm.common import table
 
 QUERIES = {}
@@ -248,3 +248,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.predicted(docs, langid.fit(docs))
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits", "rejected")
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.judged(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
