@@ -51,3 +51,10 @@ def small_or_shuffled(df: DataFrame, rows: int, row_bytes: int, limit_bytes: int
     execution splits hot keys of the other side.
     """
     return F.broadcast(df) if rows * row_bytes <= limit_bytes else df
+
+
+def shielded(df: DataFrame, names) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns that have one of ``names`` (in any case) renamed, and how to name them back."""
+    taken = {n.lower() for n in names}
+    away = {c: f"_kept{i}_" for i, c in enumerate(df.columns) if c.lower() in taken}
+    return df.withColumnsRenamed(away), {b: a for a, b in away.items()}

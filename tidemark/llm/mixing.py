@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, small_or_shuffled, word_count
+from tidemark.llm.common import checkpointed, shielded, small_or_shuffled, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
 SEED = "mix-1"
+ADDED = ("size", "source_size", "target", "rate", "copies")
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -72,8 +73,8 @@ def rated(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, share=SH
     The source table is measured before it is broadcast; a larger one is joined
     by shuffling, where adaptive execution splits a hot source.
     """
-    added = ["size", "source_size", "target", "rate", "copies"]
-    sized = docs.drop(*added).withColumn("size", word_count(F.col("text")) if size is None else size)
+    docs, back = shielded(docs.drop(*ADDED), ["_source"])
+    sized = docs.withColumn("size", word_count(F.col("text")) if size is None else size)
     targets = checkpointed(source_targets(sized.select("source", "size"), weights, share, cap))
     rows, name = targets.agg(F.count("*"), F.coalesce(F.max(F.octet_length("source")), F.lit(0))).first()
     targets = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
@@ -84,11 +85,14 @@ def rated(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, share=SH
         sized.join(targets, F.col("source").eqNullSafe(F.col("_source")))
         .drop("_source")
         .withColumn("copies", (whole + extra).cast("long"))
+        .withColumnsRenamed(back)
     )
 
 
 def mixed(docs: DataFrame, **kwargs) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it was drawn, with its own columns only."""
+    docs, back = shielded(docs, [*ADDED, "_source", "_copy"])
     names = docs.columns
     drawn = rated(docs, **kwargs).where("copies > 0")
-    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return drawn.withColumn("_copy", copies).select(*[f"`{c}`" for c in names]).withColumnsRenamed(back)

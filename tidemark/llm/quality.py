@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, words
+from tidemark.llm.common import SPACE, shielded, words
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,8 @@ def measured(docs: DataFrame) -> DataFrame:
     no word leaves its row. A null or empty text measures 0 throughout. Columns
     of ``docs`` with the names added here are replaced.
     """
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "text" and c not in MEASURES]
+    docs, back = shielded(docs.drop(*MEASURES), ["_words", "_lines", "_windows", "_starts"])
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     text = F.coalesce(F.col("text"), F.lit(""))
     rid = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -101,7 +102,7 @@ def measured(docs: DataFrame) -> DataFrame:
         F.lit(0),
         lambda total, x: total + x,
     )
-    return starts.withColumn("n_repeat_words", covered).select(*kept, *[F.col(c).cast("long").alias(c) for c in MEASURES])
+    return starts.withColumn("n_repeat_words", covered).select(*kept, *[F.col(c).cast("long").alias(c) for c in MEASURES]).withColumnsRenamed(back)
 
 
 def ledger(docs: DataFrame, rules=RULES) -> DataFrame:

@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import shielded
+
 
 def _any_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
@@ -129,7 +131,8 @@ def scanned(docs: DataFrame, window: int = WINDOW, classes=CLASSES, allowed=ALLO
     no base span overlaps. A null text counts as empty and has no span; columns
     of ``docs`` with the names added here are replaced.
     """
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("base_found", "secret_spans")]
+    docs, back = shielded(docs.drop("base_found", "secret_spans"), ["_text", "_candidate", "_value", "_high", "_run", *[f"_{k}" for k, _ in BASE_KINDS]])
+    kept = [F.col(f"`{c}`") for c in docs.columns]
     text = F.coalesce(F.col("text"), F.lit(""))
     matches = docs.select(
         *kept,
@@ -159,7 +162,7 @@ def scanned(docs: DataFrame, window: int = WINDOW, classes=CLASSES, allowed=ALLO
         F.sort_array(
             F.concat("base_found", F.filter("_run", lambda r: ~F.exists("base_found", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))))
         ).alias("secret_spans"),
-    )
+    ).withColumnsRenamed(back)
 
 
 def listed(spans: Column) -> Column:
@@ -176,6 +179,7 @@ def redacted(docs: DataFrame, mark: str = "[secret]", **kwargs) -> DataFrame:
 
     No row is dropped; other columns stay, and a null text stays null.
     """
+    docs, back = shielded(docs, ["base_found", "secret_spans"])
     names = docs.columns
     found = scanned(docs, **kwargs)
     clean = F.aggregate(
@@ -192,4 +196,4 @@ def redacted(docs: DataFrame, mark: str = "[secret]", **kwargs) -> DataFrame:
         ),
         lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))),
     )
-    return found.withColumn("text", F.when(F.size("secret_spans") > 0, clean).otherwise(F.col("text"))).select(*names)
+    return found.withColumn("text", F.when(F.size("secret_spans") > 0, clean).otherwise(F.col("text"))).select(*[f"`{c}`" for c in names]).withColumnsRenamed(back)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, small_or_shuffled
+from tidemark.llm.common import checkpointed, shielded, small_or_shuffled
 
 SEED = 42
 SHINGLE = 3
@@ -265,7 +265,8 @@ def deduplicated(docs: DataFrame, bits: int = BITS, limit: int = BUCKET, shingle
 
     Rows equal in id and fingerprint count as one document; one of them stays.
     """
-    names = docs.columns
+    docs, back = shielded(docs, ["_fp", "_best", "_id", "_again"])
+    names = [f"`{c}`" for c in docs.columns]
     whole = fingerprinted(docs, "_fp", shingle)
     printed = checkpointed(whole.select("doc_id", F.col("_fp").alias("fp")))
     classes = checkpointed(_classes(printed, bits, limit))
@@ -276,7 +277,8 @@ def deduplicated(docs: DataFrame, bits: int = BITS, limit: int = BUCKET, shingle
     kept = whole.join(chosen, (F.col("_fp") == F.col("_best")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     rows = again.count()
     if not rows:
-        return kept.select(*names)
+        return kept.select(*names).withColumnsRenamed(back)
     again = small_or_shuffled(again, rows, 16)
     single = kept.join(again, F.col("_fp") == F.col("_again"), "left_anti").select(*names)
-    return single.unionByName(kept.join(again, F.col("_fp") == F.col("_again"), "left_semi").dropDuplicates(["_fp"]).select(*names))
+    double = kept.join(again, F.col("_fp") == F.col("_again"), "left_semi").dropDuplicates(["_fp"]).select(*names)
+    return single.unionByName(double).withColumnsRenamed(back)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed
+from tidemark.llm.common import checkpointed, shielded
 
 #: Distinct keys per shard, about; bytes of cascades that are broadcast together; levels before giving up.
 SHARD_KEYS, MOST_BYTES, MOST_LEVELS = 200_000, 64 << 20, 64
@@ -208,6 +208,7 @@ def judged(pages: DataFrame, listed: DataFrame, rules: list[str], shard_keys: in
     empty host, fit no rule and are allowed.
     """
     rules_ = [parse_rule(line) for line in rules]
+    pages, back = shielded(pages.drop("host", "path", "rule", "listed", "verdict"), ["_h1", "_h2", "_rule"])
     pages = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     # the domains are taken from distinct hosts, so that a frequent host is split into its parents once
     universe = pages.select("host").distinct().select(F.explode(domains_of(F.col("host"))).alias("key"))
@@ -219,4 +220,5 @@ def judged(pages: DataFrame, listed: DataFrame, rules: list[str], shard_keys: in
         .withColumn("rule", F.col("_rule.text"))
         .withColumn("verdict", F.coalesce("_rule.verdict", F.when(F.col("listed"), "block").otherwise("allow")))
         .drop("_rule")
+        .withColumnsRenamed(back)
     )
