@@ -3,7 +3,8 @@
 Every fingerprint's Hamming distances to many reference fingerprints (pivots)
 are computed once. Two fingerprints within k bits differ by at most k in every
 coordinate of that table, so a pair is discarded as soon as one coordinate
-differs by more, and only the survivors are compared bit by bit.
+differs by more, and only the survivors are compared bit by bit. (``simhash_wide`` has the wider radius of near-duplicate
+removal, where pivots can't discard anything.)
 
 Pivots discard pairs; they don't say which pairs to form. So that never all
 pairs are formed, fingerprints meet in buckets: of six blocks of bits three are
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, shielded, small_or_shuffled
+from tidemark.llm.common import checkpointed, small_or_shuffled
 
 SEED = 42
 SHINGLE = 3
@@ -258,27 +259,3 @@ def clusters(docs: DataFrame, bits: int = BITS, limit: int = BUCKET, shingle: in
     return printed.join(classes, F.col("fp") == F.col("_fp")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("root").alias("component_root")
     )
-
-
-def deduplicated(docs: DataFrame, bits: int = BITS, limit: int = BUCKET, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each component, the one with the smallest doc_id (nulls last).
-
-    Rows equal in id and fingerprint count as one document; one of them stays.
-    """
-    docs, back = shielded(docs, ["_fp", "_best", "_id", "_again"])
-    names = [f"`{c}`" for c in docs.columns]
-    whole = fingerprinted(docs, "_fp", shingle)
-    printed = checkpointed(whole.select("doc_id", F.col("_fp").alias("fp")))
-    classes = checkpointed(_classes(printed, bits, limit))
-    chosen = classes.where("fp = best_fp").select(F.col("fp").alias("_best"), F.col("component_id").alias("_id"))
-    chosen = checkpointed(chosen)
-    seen = printed.join(chosen, (F.col("fp") == F.col("_best")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    again = checkpointed(seen.groupBy("fp").count().where("count > 1").select(F.col("fp").alias("_again")))
-    kept = whole.join(chosen, (F.col("_fp") == F.col("_best")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    rows = again.count()
-    if not rows:
-        return kept.select(*names).withColumnsRenamed(back)
-    again = small_or_shuffled(again, rows, 16)
-    single = kept.join(again, F.col("_fp") == F.col("_again"), "left_anti").select(*names)
-    double = kept.join(again, F.col("_fp") == F.col("_again"), "left_semi").dropDuplicates(["_fp"]).select(*names)
-    return single.unionByName(double).withColumnsRenamed(back)
