@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import checkpointed
 from tidemark.llm.encoding import default_paths, encoder
 
 #: Lengths are summed in blocks of so many: a running sum inside each block, and one over the blocks.
-BLOCK = 1024
+BLOCK = 128
 
 
 def encoded_lengths(docs: DataFrame, paths=None) -> DataFrame:
@@ -45,6 +46,7 @@ def suffix_sums(counts: DataFrame, block: int = BLOCK) -> DataFrame:
     blocks of lengths in parallel; the one window over everything sees a row
     per block. An empty table gives an empty result.
     """
+    counts = checkpointed(counts)  # one row per length; read twice, and not worth encoding twice
     counts = counts.withColumn("block", F.floor(F.col("n_tokens") / block))
     tokens = F.col("n_tokens") * F.col("n_docs")
     totals = counts.groupBy("block").agg(F.sum("n_docs").alias("docs"), F.sum(tokens).alias("tokens"))
