@@ -119,8 +119,9 @@ class Models:
         count = len(self.langs)
         size = max([2, *[len(t[1][0]) for t in tables.values()]]) * 2  # characters beyond those seen share the rest
         self.grams, self.logp, self.contexts, self.logw = [], [], [], []
+        self.temperature, self.limits = 8.0, np.full(count, np.inf)
         lower = None
-        for n in range(1, order + 1):
+        for n in range(1, order + 1 if count else 1):
             parts = [tables[x][n] for x in self.langs]
             grams, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
             context, suffix = np.concatenate([p[1] for p in parts])[first], np.concatenate([p[2] for p in parts])[first]
@@ -143,7 +144,6 @@ class Models:
             self.logp.append(np.log(prob).astype(np.float32))
             self.contexts.append(contexts)
             self.logw.append(np.log(weights).astype(np.float32))
-        self.temperature, self.limits = 8.0, np.full(count, np.inf)
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits per character under each language, and the number of letters, of every whole text."""
@@ -241,7 +241,7 @@ def fit(docs: DataFrame, sample_chars: int = SAMPLE_CHARS, order: int = ORDER) -
     sample = checkpointed(known.withColumn("_draw", draw).where(F.col("_draw") < share * (1 << 30)))
     back = F.pmod(F.xxhash64("_draw"), F.lit(HOLD_BACK)) == 0
 
-    def learn(key, group: pd.DataFrame) -> pd.DataFrame:
+    def learn(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         texts, held = [], 0
         for text in group["text"]:
             if held + len(text) <= 2 * sample_chars:

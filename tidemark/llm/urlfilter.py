@@ -148,7 +148,7 @@ def build(universe: DataFrame, listed: DataFrame, shard_keys: int = SHARD_KEYS)
     hashed = checkpointed(keys.select(h1.alias("h1"), h2.alias("h2"), (F.col("l") == 1).alias("listed")))
     shards = max(1, -(-hashed.count() // shard_keys))
 
-    def make(key, group: pd.DataFrame) -> pd.DataFrame:
+    def make(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         levels = cascade(group["h1"].to_numpy("int64").view("u8"), group["h2"].to_numpy("int64").view("u8"), group["listed"].to_numpy(bool))
         return pd.DataFrame({"shard": [key[0]], "blob": [pickle.dumps(levels)]})
 
