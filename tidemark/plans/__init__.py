@@ -58,7 +58,8 @@ def classify_join(report: PlanReport) -> str:
     """co-located (no exchange), broadcast, co-partitioned or shuffled."""
     if not report.exchanges:
         return "broadcast" if any(j.startswith("Broadcast") for j in report.joins) else "co-located"
-    return "co-partitioned" if "REPARTITION_BY" in report.text else "shuffled"
+    hashed = re.findall(r"Exchange hashpartitioning\(.*?\), (\w+)", report.text)
+    return "co-partitioned" if hashed and "ENSURE_REQUIREMENTS" not in hashed else "shuffled"
 
 
 def explain(df: DataFrame, mode: str = "formatted") -> None:
