@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,9 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
 
 def run_to_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Read all that is there into a memory table and stop. In append mode windows still open at the end are missing."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    if shared := spark.conf.get("spark.checkpoint.dir", None):  # the state must outlive an executor
+        writer = writer.option("checkpointLocation", f"{shared}/stream-{uuid.uuid4().hex}")
+    writer.start().awaitTermination()
+    return spark.table(name)
