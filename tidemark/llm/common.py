@@ -16,11 +16,19 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A corpus table; Python workers get this package with the first one."""
-    ship(spark)
+    """A corpus table, with ``prepared`` workers."""
+    prepared(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def prepared(spark: SparkSession) -> None:
+    """Python workers get this package, and Arrow batches of at most 8 MB unless the session sets its own size."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "").removesuffix("b") in ("", str(64 << 20)):
+        spark.conf.set(key, "8m")
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 

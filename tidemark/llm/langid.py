@@ -243,13 +243,13 @@ def fit(docs: DataFrame, sample_chars: int = SAMPLE_CHARS, order: int = ORDER) -
 
     def learn(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         texts, held = [], 0
-        for text in group["text"]:
+        for text in group.sort_values(["_draw", "text"])["text"]:
             if held + len(text) <= 2 * sample_chars:
                 texts.append(text)
                 held += len(text)
         return pd.DataFrame({"lang": [key[0]], "tables": [pickle.dumps(estimate(texts, order))]})
 
-    learned = sample.where(~back).orderBy("doc_id").groupBy("lang").applyInPandas(learn, "lang string, tables binary").collect()
+    learned = sample.where(~back).groupBy("lang").applyInPandas(learn, "lang string, tables binary").collect()
     models = Models({r[0]: pickle.loads(r[1]) for r in learned}, order)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 

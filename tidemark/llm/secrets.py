@@ -145,16 +145,15 @@ def scanned(docs: DataFrame, window: int = WINDOW, classes=CLASSES, allowed=ALLO
         "_text",
         *[_spans(F.col("_text"), F.col(f"_{kind}"), p, kind, k).alias(f"_{kind}") for k, (kind, p) in enumerate(BASE_KINDS)],
         F.when(F.size("_assign") > 0, F.transform(F.regexp_extract_all("_text", F.lit(ASSIGN), F.lit(2)), F.length)).alias("_value"),
-        F.filter(F.array_distinct("_candidate"), lambda c: _flagged(c, window, classes, allowed)).alias("_high"),
+        F.transform("_candidate", lambda c: _flagged(c, window, classes, allowed)).alias("_high"),
         F.when(F.size("_candidate") > 0, _spans(F.col("_text"), F.col("_candidate"), CANDIDATE, ENTROPY_KIND, len(BASE_KINDS)))
         .otherwise(F.array().cast("array<struct<start:int,k:int,end:int,kind:string>>"))
         .alias("_run"),
     )
     base = spans.select(
         *kept,
-        "_text",
         F.sort_array(F.concat(F.filter("_assign", lambda x, i: F.get("_value", i) >= ASSIGN_VALUE), "_access", "_hex")).alias("base_found"),
-        F.filter("_run", lambda r: (F.size("_high") > 0) & F.array_contains("_high", F.substring("_text", r["start"] + 1, r["end"] - r["start"]))).alias("_run"),
+        F.filter("_run", lambda r, i: F.get("_high", i)).alias("_run"),
     )
     return base.select(
         *kept,
