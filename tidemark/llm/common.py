@@ -25,7 +25,7 @@ def prepared(spark: SparkSession) -> None:
     """Python workers get this package, and Arrow batches of at most 8 MB unless the session sets its own size."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "").removesuffix("b") in ("", str(64 << 20)):
+    if spark.conf.get(key).removesuffix("b") == str(64 << 20):  # Spark's own default
         spark.conf.set(key, "8m")
 
 
