@@ -176,18 +176,17 @@ def member(rows: DataFrame, keys: Column, cascades: DataFrame, shards: int, name
     h2 = F.transform(keys, lambda k: hashes_of(k)[1])
     rows = rows.withColumn(name, F.lit(False)).withColumn("_h1", h1).withColumn("_h2", h2)
     for number, block in enumerate(blocks):
-        blobs = {r[0]: bytes(r[1]) for r in cascades.where(F.col("shard").isin(block)).collect()} if block else {}
-        shared = context.broadcast(blobs)
+        found = cascades.where(F.col("shard").isin(block)).collect() if block else []
+        shared = context.broadcast({r[0]: pickle.loads(r[1]) for r in found})
 
         @F.arrow_udf("boolean")
         def test(a: pa.Array, b: pa.Array) -> pa.Array:
-            levels = {k: pickle.loads(v) for k, v in shared.value.items()}
             counts = np.diff(a.offsets.to_numpy()) if len(a) else np.empty(0, np.int64)
             counts = np.where(a.is_null().to_numpy(zero_copy_only=False), 0, counts)
             x, y = a.flatten().to_numpy(zero_copy_only=False), b.flatten().to_numpy(zero_copy_only=False)
             own = np.mod(x, shards)
             hit = np.zeros(len(x), bool)
-            for k, chain in levels.items():
+            for k, chain in shared.value.items():
                 at = np.flatnonzero(own == k)
                 hit[at] = holds(chain, x[at].view("u8"), y[at].view("u8"))
             row = np.repeat(np.arange(len(a)), counts)
