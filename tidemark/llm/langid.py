@@ -273,7 +273,10 @@ def predicted(docs: DataFrame, models: Models, reject: bool = False) -> DataFram
     """``docs`` (doc_id, text) to doc_id, lang_pred, score, bits, rejected; only the text is looked at.
 
     With ``reject`` a rejected text's language is ``und``. Null texts and texts
-    without letters are ``und`` with score 0; repeated rows give repeated rows.
+    without letters are ``und`` with score 0, and so is every text if no
+    language was learned. Languages that tie are taken by name. Texts of any
+    length are read whole; equal texts get equal results; repeated rows, null
+    ids and an empty table give as many rows; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -176,7 +176,11 @@ def key_ranges(index: dict) -> np.ndarray:
 
 
 def stored(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` (key, text) to key, n_bytes, media: each whole text as an ISO media file. A null text counts as empty."""
+    """``docs`` (key, text) to key, n_bytes, media: each whole text as an ISO media file.
+
+    A null text counts as empty; equal texts give equal files; repeated rows,
+    null keys and an empty table give as many rows; other columns are not read.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def write(batches):

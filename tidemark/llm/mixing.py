@@ -65,10 +65,12 @@ def rated(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, share=SH
     """``docs`` (doc_id, text, source, ...) with size, source_size, target, rate and copies.
 
     Each document's copies are floor(rate), plus one where its hash lies under
-    the fraction. Rows equal in doc_id, source and size decide alike; a null
-    text has size 0; null is a source of its own; a source of size 0 has rate 0;
-    an empty table gives an empty result. Columns of ``docs`` with the names
-    added here are replaced.
+    the fraction. Rows equal in doc_id, source and size decide alike (nulls
+    are equal); a null or empty text has size 0, and texts of any length are
+    counted whole; null is a source of its own, last in order; a source of size
+    0 has rate 0; sources that tie in cap/weight are taken by name; an empty
+    table gives an empty result. Columns of ``docs`` with the names added here
+    are replaced, all others stay.
 
     The source table is measured before it is broadcast; a larger one is joined
     by shuffling, where adaptive execution splits a hot source.
@@ -90,7 +92,10 @@ def rated(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, share=SH
 
 
 def mixed(docs: DataFrame, **kwargs) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it was drawn, with its own columns only."""
+    """The mix itself: the rows of ``docs``, each as often as it was drawn, with all its own columns and no others.
+
+    Columns that have names of those added while mixing keep their values.
+    """
     docs, back = shielded(docs, [*ADDED, "_source", "_copy"])
     names = docs.columns
     drawn = rated(docs, **kwargs).where("copies > 0")

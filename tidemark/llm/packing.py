@@ -161,7 +161,10 @@ def pack(
     """``docs`` (key, text) to pieces: key and PIECE_SCHEMA.
 
     A document is its ids followed by ``end_id``; a null text counts as empty,
-    so every row gives at least one piece. Repeated rows are packed once each.
+    so every row gives at least one piece. Repeated rows and rows with equal or
+    null ids are packed once each. Neighbours that tie are taken in stored
+    order; texts longer than a shard are a shard; an empty table gives an empty
+    result; other columns are not read.
     A sequence's number joins the partition's and a running one; its pieces
     fill it from offset 0 without gaps. The order of rows within a partition
     decides which documents meet, so results are those of the stored order.

@@ -59,8 +59,10 @@ def measured(docs: DataFrame) -> DataFrame:
     Words: runs without ASCII white space. ``n_repeat_words`` counts words that
     lie in a window of three words found twice or more in the text; windows are
     told apart by 64-bit hashes, sorted with their positions within the row, so
-    no word leaves its row. A null or empty text measures 0 throughout. Columns
-    of ``docs`` with the names added here are replaced.
+    no word leaves its row. A null or empty text measures 0 throughout; texts
+    of any length are measured whole; repeated rows and an empty table give as
+    many rows. Columns of ``docs`` with the names added here are replaced, all
+    others stay.
     """
     docs, back = shielded(docs.drop(*MEASURES), ["_words", "_lines", "_windows", "_starts"])
     kept = [F.col(f"`{c}`") for c in docs.columns if c != "text"]

@@ -128,8 +128,10 @@ def scanned(docs: DataFrame, window: int = WINDOW, classes=CLASSES, allowed=ALLO
 
     Per kind of BASE_KINDS matches are leftmost and do not overlap; matches
     under the least length are dropped. Entropy spans are whole candidates that
-    no base span overlaps. A null text counts as empty and has no span; columns
-    of ``docs`` with the names added here are replaced.
+    no base span overlaps. A null text counts as empty and has no span; texts of
+    any length are read whole; repeated rows and an empty table give as many
+    rows; spans with one start are listed by kind. Columns of ``docs`` with the
+    names added here are replaced, all others stay.
     """
     docs, back = shielded(docs.drop("base_found", "secret_spans"), ["_text", "_candidate", "_value", "_high", "_run", *[f"_{k}" for k, _ in BASE_KINDS]])
     kept = [F.col(f"`{c}`") for c in docs.columns]

@@ -251,8 +251,11 @@ def clusters(docs: DataFrame, bits: int = BITS, limit: int = BUCKET, shingle: in
 
     One row per input row. ``component_id`` is the smallest doc_id reachable
     over links (null if all of a component's ids are null), ``component_root``
-    a fingerprint of the component. Texts without words have fingerprint zero
-    and link like any other; repeated rows and equal ids are kept as they are.
+    a fingerprint of the component. Texts without words (null, empty) have
+    fingerprint zero and link like any other; texts of any length are read
+    whole; a bit set in exactly half of the hashes is 0; repeated rows and equal
+    ids are kept as they are; an empty table gives an empty result; other
+    columns are not read.
     """
     printed = checkpointed(fingerprinted(docs.select("doc_id", "text"), "fp", shingle).select("doc_id", "fp"))
     classes = checkpointed(_classes(printed, bits, limit)).withColumnRenamed("fp", "_fp")

@@ -21,7 +21,12 @@ BLOCK = 128
 
 
 def encoded_lengths(docs: DataFrame, paths=None) -> DataFrame:
-    """``docs`` (text) to n_tokens (long), one row per document; a null or empty text has 0."""
+    """``docs`` (text) to n_tokens (long), one row per row of ``docs``.
+
+    A null or empty text has 0 tokens; texts of any length are encoded whole;
+    repeated rows count each time; an empty table gives an empty result; other
+    columns, whatever their names, are not read.
+    """
     paths = tuple(paths or default_paths())
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

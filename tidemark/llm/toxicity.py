@@ -221,7 +221,12 @@ def fit(
 
 
 def judged(docs: DataFrame, chain: Chain) -> DataFrame:
-    """``docs`` (doc_id, text) to doc_id, one probability per category (p_name), toxic. A null text counts as empty."""
+    """``docs`` (doc_id, text) to doc_id, one probability per category (p_name), toxic.
+
+    A null text counts as empty; texts of any length are read whole; equal
+    texts get equal results; repeated rows, null ids and an empty table give as
+    many rows; a probability at the threshold is toxic; other columns are not read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = [f"p_{c}" for c in chain.categories]
@@ -237,7 +242,7 @@ def judged(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, chain: Chain) -> DataFrame:
-    """The rows of ``docs`` that aren't toxic, with all their columns."""
+    """The rows of ``docs`` that aren't toxic, with all their columns (under any names) and as often as they occur."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     at = docs.columns.index("text")
 

@@ -202,9 +202,12 @@ def member(rows: DataFrame, keys: Column, cascades: DataFrame, shards: int, name
 def judged(pages: DataFrame, listed: DataFrame, rules: list[str], shard_keys: int = SHARD_KEYS, most_bytes: int = MOST_BYTES) -> DataFrame:
     """``pages`` (url, ...) with host, path, rule, listed, verdict; columns of these names are replaced.
 
-    The verdict is the longest fitting rule's, else block if the host or a
-    parent domain is in ``listed`` (column key), else allow. Null urls have an
-    empty host, fit no rule and are allowed.
+    The verdict is the longest fitting rule's (of rules with one text, allow),
+    else block if the host or a parent domain is in ``listed`` (column key),
+    else allow. Null urls and urls without ``://`` have an empty host, fit no
+    rule and are allowed. Repeated rows are judged each; nulls and repeats in
+    ``listed`` change nothing; an empty table gives an empty result; other
+    columns stay, under any names.
     """
     rules_ = [parse_rule(line) for line in rules]
     pages, back = shielded(pages.drop("host", "path", "rule", "listed", "verdict"), ["_h1", "_h2", "_rule"])
