@@ -88,6 +88,10 @@ def test_skewed_laptops(spark, skew):
     ticks = joins.tick_join(a, b, ["make", "model"], "procSpeed", 10)
     naive = joins.band_join(a, b, ["make", "model"], "procSpeed", 0.1 + 1e-9, naive=True)
     assert same(ticks, naive) and ticks.count() > 0
+    mean = F.round(F.avg("salePrice_r"), 6).alias("m")
+    paired = ticks.groupBy("registration", "make", "model", "procSpeed").agg(mean, F.count("*").alias("n_near"), F.sum("salePrice_r").alias("s"))
+    summed = joins.tick_aggregate(a.distinct(), b, ["make", "model"], "procSpeed", 10, "salePrice")
+    assert same(paired, summed.select("registration", "make", "model", "procSpeed", F.round("mean_salePrice", 6).alias("m"), "n_near", F.col("sum_salePrice").alias("s")))
 
 
 def test_cogroup_modes_and_exchanges(spark):

@@ -374,6 +374,13 @@ def _band(form: str, width: float = 1):
     return run
 
 
+@query("band_join_aggregated", _BAND.format(1))
+def band_join_aggregated(spark, sf_dir):
+    part = _t(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    got = joins.tick_aggregate(part, part, ["p_brand"], "p_size", 1, "p_retailprice")
+    return got.select("p_partkey", F.round("mean_p_retailprice", 4).alias("avg_price"), F.col("n_near").alias("n"))
+
+
 for _form in ("naive", "bucketed", "ticks"):
     QUERIES[f"band_join_{_form}"], SQL[f"band_join_{_form}"] = _band(_form), _BAND.format(1)
 QUERIES["band_join_wide"], SQL["band_join_wide"] = _band("bucketed", 2.5), _BAND.format(2.5)
