@@ -123,6 +123,16 @@ def _flagged(candidate: Column, window: int, classes, allowed) -> Column:
     return F.when(harmless, F.lit(False)).otherwise(least_weight(candidate, window) <= limit)
 
 
+def _where(array: str, by: str, test) -> Column:
+    """Elements of one array by a test of the other's at the same place.
+
+    The arrays are zipped first: a column looked up inside a lambda may be
+    computed again for every element, where the optimizer merges projections.
+    """
+    zipped = F.arrays_zip(F.col(array).alias("x"), F.col(by).alias("by"))
+    return F.transform(F.filter(zipped, lambda z: test(z["by"])), lambda z: z["x"])
+
+
 def scanned(docs: DataFrame, window: int = WINDOW, classes=CLASSES, allowed=ALLOWED) -> DataFrame:
     """``docs`` with ``base_found`` and ``secret_spans``: arrays of (start, k, end, kind) by start, then kind.
 
@@ -154,8 +164,8 @@ def scanned(docs: DataFrame, window: int = WINDOW, classes=CLASSES, allowed=ALLO
     )
     base = spans.select(
         *kept,
-        F.sort_array(F.concat(F.filter("_assign", lambda x, i: F.get("_value", i) >= ASSIGN_VALUE), "_access", "_hex")).alias("base_found"),
-        F.filter("_run", lambda r, i: F.get("_high", i)).alias("_run"),
+        F.sort_array(F.concat(_where("_assign", "_value", lambda n: n >= ASSIGN_VALUE), "_access", "_hex")).alias("base_found"),
+        _where("_run", "_high", lambda high: high).alias("_run"),
     )
     return base.select(
         *kept,
