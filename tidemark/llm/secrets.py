@@ -156,7 +156,9 @@ def scanned(docs: DataFrame, window: int = WINDOW, classes=CLASSES, allowed=ALLO
         *kept,
         "_text",
         *[_spans(F.col("_text"), F.col(f"_{kind}"), p, kind, k).alias(f"_{kind}") for k, (kind, p) in enumerate(BASE_KINDS)],
-        F.when(F.size("_assign") > 0, F.transform(F.regexp_extract_all("_text", F.lit(ASSIGN), F.lit(2)), F.length)).alias("_value"),
+        F.when(F.size("_assign") > 0, F.transform(F.regexp_extract_all("_text", F.lit(ASSIGN), F.lit(2)), F.length))
+        .otherwise(F.array().cast("array<int>"))
+        .alias("_value"),
         F.transform("_candidate", lambda c: _flagged(c, window, classes, allowed)).alias("_high"),
         F.when(F.size("_candidate") > 0, _spans(F.col("_text"), F.col("_candidate"), CANDIDATE, ENTROPY_KIND, len(BASE_KINDS)))
         .otherwise(F.array().cast("array<struct<start:int,k:int,end:int,kind:string>>"))
