@@ -130,3 +130,20 @@ def test_removal_keeps_unrelated_and_odd_rows(spark):
 def test_orders_grow_slowly():
     assert simhash_wide.orders_for(1) >= 1
     assert simhash_wide.orders_for(10**6) < 2 * simhash_wide.orders_for(10**5)
+
+
+def test_pairs_meet_in_dense_regions(spark):
+    """All fingerprints around one template (similarity 0.5), and among them pairs at 0.8."""
+    rng = np.random.default_rng(5)
+    n, planted, bits = 4000, 200, simhash_wide.BITS
+    centre = rng.integers(0, 2, bits)
+    prints = centre ^ (rng.random((n, bits)) < 0.159)
+    for k in range(planted):
+        prints[2 * k + 1] = prints[2 * k]
+        prints[2 * k + 1, rng.permutation(bits)[: round(bits * simhash_wide.flip_rate(0.8))]] ^= 1
+    words = np.packbits(prints.astype(np.uint8), axis=1, bitorder="little").view("<i8")
+    rows = [(i, *map(int, w)) for i, w in enumerate(words)]
+    frame = spark.createDataFrame(rows, f"id long, {', '.join(f'w{i} long' for i in range(simhash_wide.WORDS))}")
+    got = [{(r.u, r.v) for r in simhash_wide.wide_links(frame, n, cell=cell).collect()} for cell in (simhash_wide.CELL, 100)]
+    assert got[0] == got[1]
+    assert sum((2 * k, 2 * k + 1) in got[0] for k in range(planted)) >= 0.93 * planted
