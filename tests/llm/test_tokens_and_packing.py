@@ -110,6 +110,24 @@ def test_copies_stay_apart():
     assert together <= 2
 
 
+def test_many_copies_leave_room_for_neighbours():
+    """200 copies of a text, and as many different ones that share its words; unrelated ones are longer."""
+    rng = np.random.default_rng(2)
+    one = rng.integers(0, 100, 64)
+    related = [np.append(one[rng.permutation(64)[:20]], 1000 + 50 * i + np.arange(43)) for i in range(200)]
+    docs_ = [x.astype(np.uint32) for x in [one] * 200 + related]
+    windows = list(packing.packed(docs_, 128, 24, 64))
+    assert sum(n for w in windows for _, _, n in w) == sum(map(len, docs_))
+    assert sum(sum(d < 200 for d in {d for d, _, _ in w}) > 1 for w in windows) <= 10
+
+
+def test_short_texts_are_ranked_to_the_last():
+    """Windows of more than 64 short documents hold one topic, though those of the other are as long."""
+    docs_ = [np.array([10 * (i % 2) + 1, 10 * (i % 2) + 2, 100 + i], np.uint32) for i in range(800)]
+    windows = list(packing.packed(docs_, 600, 24, 64))
+    assert all(len({d % 2 for d, _, _ in w}) == 1 for w in windows)
+
+
 def test_index_scores_are_bm25():
     docs_ = [np.array(x, np.uint32) for x in ([5, 5, 7, 9], [5, 7, 8, 8, 8, 8], [9, 9, 1], [2, 3])]
     index = packing.Index(docs_)

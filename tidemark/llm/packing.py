@@ -2,8 +2,8 @@
 
 Each input partition is read as a stream of blocks, and each block is one shard
 of a BM25 inverted index over its documents' tokens. A seed document opens a
-window; the index returns its unused neighbours by score, which greedily fill
-the window; the last neighbour is cut where the window ends and its rest stays
+window; the index returns its unused neighbours by score, down to the last that
+shares a term, which greedily fill the window; the last neighbour is cut where the window ends and its rest stays
 in the shard. Shards need no exchange and no state beyond one block, so the
 work is a single pass, and a lost task is simply read again.
 """
@@ -23,7 +23,7 @@ WINDOW = 2048
 END_ID = 1
 #: A shard ends at so many documents or tokens, whichever comes first; a longer document is a shard of its own.
 SHARD_DOCS, SHARD_TOKENS = 4096, 3_000_000
-#: Terms of the seed that are looked up, and neighbours that are tried, per window.
+#: Terms of the seed that are looked up, and neighbours that are tried, at a time.
 QUERY_TERMS, NEIGHBOURS = 24, 64
 K1, B = 1.2, 0.75
 
@@ -56,28 +56,37 @@ class Index:
         self.bounds = np.append(0, np.cumsum(df))
         self.count = len(docs)
 
-    def neighbours(self, seed: int, unused: np.ndarray, terms: int, most: int) -> np.ndarray:
-        """Unused documents that share the seed's heaviest terms, best first; ties by position."""
+    def neighbours(self, seed: int, unused: np.ndarray, terms: int, most: int) -> Iterator[np.ndarray]:
+        """All unused documents that share a term with the seed, ``most`` at a time, best first; ties by position.
+
+        The heaviest ``terms`` rank first; the next ones are looked up when their documents are used up.
+        """
         a, b = (self.end[seed - 1] if seed else 0), self.end[seed]
         weight = self.weight[a:b]
-        pick = np.argpartition(-weight, terms)[:terms] if b - a > terms else np.arange(b - a)
-        spans = [(self.bounds[t], self.bounds[t + 1]) for t in self.terms[a:b][pick[weight[pick] > 0]].tolist()]
-        if not spans:
-            return np.empty(0, np.int64)
-        docs = np.concatenate([self.docs[x:y] for x, y in spans])
-        score = np.bincount(docs, np.concatenate([self.posted[x:y] for x, y in spans]), minlength=self.count)
-        score *= unused
-        best = np.argpartition(-score, most)[:most] if len(score) > most else np.arange(len(score))
-        best = best[score[best] > 0]
-        return best[np.lexsort((best, -score[best]))]
+        heavy = np.argsort(-weight, kind="stable")
+        heavy = heavy[weight[heavy] > 0]
+        fresh = unused.copy()
+        for at in range(0, len(heavy), terms):
+            spans = [(self.bounds[t], self.bounds[t + 1]) for t in self.terms[a:b][heavy[at : at + terms]].tolist()]
+            docs = np.concatenate([self.docs[x:y] for x, y in spans])
+            score = np.bincount(docs, np.concatenate([self.posted[x:y] for x, y in spans]), minlength=self.count)
+            score *= fresh
+            while True:
+                best = np.argpartition(-score, most)[:most] if len(score) > most else np.arange(len(score))
+                best = best[score[best] > 0]
+                if not len(best):
+                    break
+                yield best[np.lexsort((best, -score[best]))]
+                score[best] = 0
+                fresh[best] = False
 
 
 def packed(docs: list[np.ndarray], window: int, terms: int, most: int) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences of pieces (document, start, length) over one shard.
 
-    Documents of a window or more give whole windows first. Copies of a
-    document already in a window are passed over while others fit. Only the
-    last window can end early; it is cut into powers of two.
+    Documents of a window or more give whole windows first. Equal documents
+    are one entry of the index, and one of them enters a window while others
+    fit. Only the last window can end early; it is cut into powers of two.
     """
     total = np.array([len(x) for x in docs], np.int64)
     for d in np.flatnonzero(total >= window).tolist():
@@ -85,8 +94,14 @@ def packed(docs: list[np.ndarray], window: int, terms: int, most: int) -> Iterat
             yield [(d, start, window)]
     start = total // window * window
     left = total - start
-    index = Index(docs)
-    content = [zlib.crc32(x) for x in docs]
+    numbers: dict[bytes, int] = {}
+    content = [numbers.setdefault(x.tobytes(), len(numbers)) for x in docs]
+    copies: list[list[int]] = [[] for _ in numbers]
+    for d in range(len(docs) - 1, -1, -1):
+        if left[d]:
+            copies[content[d]].append(d)
+    unused = np.array([bool(x) for x in copies])
+    index = Index([docs[d] for d in np.unique(content, return_index=True)[1]])
     order = np.lexsort((np.arange(len(docs)), -left)).tolist()
     spare = 0  # documents of the order before this are used up
     last: list[tuple[int, int, int]] = []
@@ -96,6 +111,11 @@ def packed(docs: list[np.ndarray], window: int, terms: int, most: int) -> Iterat
         into.append((d, int(start[d]), n))
         start[d] += n
         left[d] -= n
+        if not left[d]:
+            same = copies[content[d]]
+            while same and not left[same[-1]]:
+                same.pop()
+            unused[content[d]] = bool(same)
         return room - n
 
     for seed in order:
@@ -104,24 +124,25 @@ def packed(docs: list[np.ndarray], window: int, terms: int, most: int) -> Iterat
         pieces: list[tuple[int, int, int]] = []
         room = take(pieces, seed, window)
         seen = {content[seed]}
-        near = index.neighbours(seed, left > 0, terms, most).tolist() if room else []
-        for d in near:
-            if 0 < left[d] <= room and content[d] not in seen:
-                room = take(pieces, d, room)
-                seen.add(content[d])
-                if not room:
-                    break
-        for d in near:
+        for near in index.neighbours(content[seed], unused, terms, most) if room else ():
+            near = [c for c in near.tolist() if c not in seen]
+            for fits in (True, False):
+                for c in near:
+                    if room and c not in seen and (left[copies[c][-1]] <= room or not fits):
+                        room = take(pieces, copies[c][-1], room)
+                        seen.add(c)
             if not room:
                 break
-            if left[d] and content[d] not in seen:
-                room = take(pieces, d, room)
-        while room and spare < len(order):
-            d = order[spare]
-            if left[d]:
-                room = take(pieces, d, room)
-            else:
-                spare += 1
+        while spare < len(order) and not left[order[spare]]:
+            spare += 1
+        for again in (False, True):
+            at = spare
+            while room and at < len(order):
+                d = order[at]
+                if left[d] and (again or content[d] not in seen):
+                    room = take(pieces, d, room)
+                    seen.add(content[d])
+                at += 1
         if room:
             last = pieces
         else:
