@@ -7,6 +7,7 @@ import __spark_entry__ as entry
 from tests.conftest import SMALL
 from tidemark import queries
 from tidemark.plans import inspect_plan
+from tidemark.sources import generators
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -32,6 +33,20 @@ def test_every_query_has_sql_or_is_generated():
     assert set(queries.QUERIES) - set(queries.SQL) == {"laptop_offers"}
 
 
+def test_laptop_offers_at_the_size_of_the_reference(spark):
+    got = {r.registration: r.avg_price for r in queries.QUERIES["laptop_offers"](spark, SMALL).collect()}
+    offers = {}
+    for r in generators.laptop_offers(spark, 100_000).collect():
+        offers.setdefault((r.make, r.model), []).append((round(r.procSpeed * 10), r.salePrice))
+    laptops = {}
+    for r in generators.laptops(spark, 40_000).collect():
+        laptops.setdefault(r.registration, []).append(((r.make, r.model), round(r.procSpeed * 10)))
+    assert set(got) <= set(laptops) and len(got) > 2000
+    for name in sorted(laptops)[::400]:
+        near = [p for model, tick in laptops[name] for t, p in offers.get(model, []) if abs(t - tick) <= 1]
+        assert got.get(name) == (pytest.approx(sum(near) / len(near), abs=1e-3) if near else None)
+
+
 def test_entry_and_registers(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

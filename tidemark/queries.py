@@ -541,9 +541,9 @@ def partition_profile(spark, sf_dir):
 @query("laptop_offers", None)
 def laptop_offers(spark, sf_dir):
     """Average price of offers within a tenth of a GHz, per laptop, over seeded skewed data."""
-    a, b = generators.laptops(spark, 2000), generators.laptop_offers(spark, 5000)
-    got = joins.tick_join(a, b, ["make", "model"], "procSpeed", 10)
-    return got.groupBy("registration").agg(F.round(F.avg("salePrice_r"), 4).alias("avg_price"))
+    a, b = generators.laptops(spark, 40_000), generators.laptop_offers(spark, 100_000)
+    got = joins.tick_aggregate(a, b, ["make", "model"], "procSpeed", 10, "salePrice")
+    return got.groupBy("registration").agg(F.round(F.sum("sum_salePrice") / F.sum("n_near"), 4).alias("avg_price"))
 
 
 # Streams over the events.
