@@ -123,7 +123,7 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _spans_sql(kind: str, pattern: str, order: int, where: str) -> str:
+def _spans_sql(kind: str, pattern: str, order: int, where: str, texts: str = "d") -> str:
     """Spans of one kind: the k-th match starts after k pieces and the k - 1 matches before it."""
     quoted = pattern.replace("'", "''")
     return f"""
@@ -132,7 +132,7 @@ def _spans_sql(kind: str, pattern: str, order: int, where: str) -> str:
            (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start
     FROM (SELECT r, t, m, v, g, unnest(range(1, len(m) + 1)) AS i FROM (
       SELECT r, t, regexp_extract_all(t, '{quoted}') AS m, regexp_extract_all(t, '{quoted}', {2 if kind == "assign" else 0}) AS v,
-             string_split_regex(t, '{quoted}') AS g FROM d) WHERE len(m) > 0)
+             string_split_regex(t, '{quoted}') AS g FROM {texts}) WHERE len(m) > 0)
   ) WHERE {where}"""
 
 
@@ -154,12 +154,18 @@ WITH d AS (
 {_spans_sql("assign", secrets.ASSIGN, 0, f"length(v) >= {secrets.ASSIGN_VALUE}")}
   UNION ALL {_spans_sql("access", secrets.ACCESS, 1, "true")}
   UNION ALL {_spans_sql("hex", secrets.HEX, 2, "true")}
+), reached AS (
+  SELECT *, coalesce(max(stop) OVER (PARTITION BY r ORDER BY start, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM base
+), blanked AS (
+  SELECT r, string_agg(substr(t, reach + 1, greatest(start - reach, 0)) || repeat(' ', greatest(stop, reach) - greatest(start, reach)), '' ORDER BY start, k)
+            || substr(any_value(t), max(stop) + 1) AS t
+  FROM reached GROUP BY r
+), rest AS (
+  SELECT d.r, coalesce(blanked.t, d.t) AS t FROM d LEFT JOIN blanked USING (r)
 ), run AS (
-{_spans_sql("entropy", secrets.CANDIDATE, 3, _entropy_sql())}
+{_spans_sql("entropy", secrets.CANDIDATE, 3, _entropy_sql(), "rest")}
 ), found AS (
-  SELECT r, start, k, stop, kind FROM base
-  UNION ALL
-  SELECT r, start, k, stop, kind FROM run WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = run.r AND b.start < run.stop AND run.start < b.stop)
+  SELECT r, start, k, stop, kind FROM base UNION ALL SELECT r, start, k, stop, kind FROM run
 ), joined AS (
   SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
          coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (k < 3), '') AS b,
