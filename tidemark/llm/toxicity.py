@@ -5,8 +5,13 @@ of words and word beginnings. Each model also sees the logits of the earlier
 categories; in training those come from models that did not see the row (out
 of fold), so that a later model learns how far earlier ones can be trusted.
 
-Features are chosen and models are fitted on a bounded sample of labelled
-documents; every document is then judged on its whole text in one pass.
+The earlier categories are label columns, where there are such; where only the
+last one is labelled, they are kinds of it, found in the labelled documents by
+clustering their features (each language's own words, say, or each manner).
+
+All features whose frequency differs significantly between the two sides are
+used. Models are fitted on a bounded sample of labelled documents; every
+document is then judged on its whole text in one pass.
 """
 
 from __future__ import annotations
@@ -24,22 +29,18 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpointed, small_or_shuffled
 
-#: Bounds of the fit: labelled documents with and without the last category, and features.
-MOST_POSITIVE, MOST_NEGATIVE, MOST_FEATURES = 3000, 6000, 256
-#: A feature must be in so many texts of a category, and so many times as frequent there.
-SUPPORT, LIFT = 4, 3.0
+#: Bounds of the fit: labelled documents with and without the last category.
+MOST_POSITIVE, MOST_NEGATIVE = 3000, 6000
+#: A feature must be in so many texts, and its chi-square (one degree of freedom) must reach this.
+SUPPORT, CHI = 4, 20.0
 PREFIXES = (4, 5, 6)
-FOLDS, RIDGE, STEPS = 5, 1.0, 12
+FOLDS, RIDGE, STEPS = 5, 0.2, 25
+#: Kinds of the last category that precede it where no other category is labelled.
+KINDS, ROUNDS = 3, 25
 #: Thresholds are set by the F score of this beta: below 1, precision counts for more than recall.
-BETA = 0.5
+BETA = 0.8
 _WORD = re.compile(r"[^\W\d_]+")
 
-#: Seed words of the two categories that precede the labelled one in the corpus query's chain.
-SEEDS = {
-    "insult": ("clown", "idiot", "loser", "moron", "scum", "stupid"),
-    "contempt": ("disgusting", "pathetic", "trash", "worthless"),
-}
-
 
 def features(text: str | None) -> set[str]:
     """Words in lower case, and the beginnings of longer words (marked by an asterisk)."""
@@ -51,21 +52,65 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last coefficient is the intercept, which isn't shrunk."""
-    x = np.column_stack([x, np.ones(len(x))])
-    penalty = np.full(x.shape[1], ridge)
+class Presence:
+    """A matrix of zeros and ones: the rows and columns of its ones, by row."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, shape: tuple[int, int]):
+        self.rows, self.cols, self.shape = rows.astype(np.int64), cols.astype(np.int64), shape
+
+    def times(self, beta: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, beta[self.cols], self.shape[0])
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.cols, r[self.rows], self.shape[1])
+
+    def part(self, mask: np.ndarray) -> Presence:
+        keep = mask[self.rows]
+        return Presence((np.cumsum(mask) - 1)[self.rows[keep]], self.cols[keep], (int(mask.sum()), self.shape[1]))
+
+    def dense(self) -> np.ndarray:
+        x = np.zeros(self.shape)
+        x[self.rows, self.cols] = 1
+        return x
+
+
+def linear(x: Presence, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> np.ndarray:
+    """Ridge logistic regression over ``x`` and the columns of ``extra``, by Newton steps that conjugate gradients solve.
+
+    Coefficients of x, of extra, and the intercept, which isn't shrunk.
+    """
+    d = x.shape[1]
+    more = np.column_stack([extra, np.ones(len(y))])
+    penalty = np.full(d + more.shape[1], ridge)
     penalty[-1] = 1e-6
-    beta = np.zeros(x.shape[1])
+    times = lambda v: x.times(v[:d]) + more @ v[d:]
+    back = lambda r: np.concatenate([x.back(r), more.T @ r])
+    beta = np.zeros(len(penalty))
     rate = np.clip(np.average(y, weights=weight), 1e-4, 1 - 1e-4)
     beta[-1] = np.log(rate / (1 - rate))
+    loss = lambda v: (weight * (np.logaddexp(0, times(v)) - y * times(v))).sum() + 0.5 * (penalty * v * v).sum()
     for _ in range(steps):
-        p = _sigmoid(x @ beta)
-        slope = x.T @ (weight * (y - p)) - penalty * beta
-        curve = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(curve, slope)
-        beta += step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-4:
+        p = _sigmoid(times(beta))
+        curve = weight * np.maximum(p * (1 - p), 1e-6)
+        slope = back(weight * (y - p)) - penalty * beta
+        scale = np.concatenate([x.back(curve), (curve[:, None] * more * more).sum(axis=0)]) + penalty
+        step, rest = np.zeros(len(beta)), slope.copy()
+        ahead = rest / scale
+        size = rest @ ahead
+        for _ in range(4 * len(beta)):
+            if size <= 1e-18 * max(1.0, len(y)):
+                break
+            bent = back(curve * times(ahead)) + penalty * ahead
+            far = size / (ahead @ bent)
+            step += far * ahead
+            rest -= far * bent
+            was, size = size, rest @ (rest / scale)
+            ahead = rest / scale + size / was * ahead
+        length, now = 1.0, loss(beta)
+        while length > 1e-4 and loss(beta + length * step) > now + 1e-12 * abs(now):
+            length /= 2
+        beta = beta + length * step
+        if np.abs(step).max(initial=0) < 1e-5:
             break
     return beta
 
@@ -77,13 +122,13 @@ class Chain:
     betas: list[np.ndarray] = field(default_factory=list)
     thresholds: list[float] = field(default_factory=list)
 
-    def matrix(self, texts: list[str | None], cache: dict | None = None) -> np.ndarray:
+    def matrix(self, texts: list[str | None], cache: dict | None = None) -> Presence:
         """Presence of each feature in each whole text."""
         cache = {} if cache is None else cache
         get = self.vocabulary.get
-        x = np.zeros((len(texts), len(self.vocabulary)), np.float32)
+        counts, cols = np.zeros(len(texts), np.int64), []
         for i, text in enumerate(texts):
-            hits: list[int] = []
+            hits: set[int] = set()
             for w in set(_WORD.findall((text or "").lower())):
                 known = cache.get(w)
                 if known is None:
@@ -92,16 +137,17 @@ class Chain:
                     names = (w, *(w[:n] + "*" for n in PREFIXES if len(w) > n))
                     known = cache[w] = tuple(j for j in map(get, names) if j is not None)
                 if known:
-                    hits.extend(known)
-            x[i, hits] = 1
-        return x
+                    hits.update(known)
+            counts[i] = len(hits)
+            cols.extend(sorted(hits))
+        return Presence(np.repeat(np.arange(len(texts)), counts), np.array(cols, np.int64), (len(texts), len(self.vocabulary)))
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
+    def probabilities(self, x: Presence) -> np.ndarray:
         """One column per category, in chain order."""
-        logits = np.zeros((len(x), 0))
+        logits = np.zeros((x.shape[0], 0))
         for beta in self.betas:
-            z = np.clip(np.column_stack([x, logits, np.ones(len(x))]) @ beta, -8, 8)
-            logits = np.column_stack([logits, z])
+            z = x.times(beta[: x.shape[1]]) + logits @ beta[x.shape[1] : -1] + beta[-1]
+            logits = np.column_stack([logits, np.clip(z, -8, 8)])
         return _sigmoid(logits)
 
     def toxic(self, p: np.ndarray) -> np.ndarray:
@@ -109,19 +155,39 @@ class Chain:
         return p[:, -1] >= self.thresholds[-1]
 
 
-def train(chain: Chain, x: np.ndarray, labels: np.ndarray, weight: np.ndarray, fold: np.ndarray) -> None:
+def kinds(x: np.ndarray, count: int = KINDS) -> np.ndarray:
+    """Clusters of rows by the direction of their features, numbered by size (spherical k-means, farthest rows first)."""
+    unit = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+    if not len(x):
+        return np.zeros(0, np.int64)
+    centres = [unit[int((unit @ unit.mean(axis=0)).argmax())]]
+    while len(centres) < count:
+        near = (unit @ np.array(centres).T).max(axis=1)
+        near[~x.any(axis=1)] = 2  # a row without features is nobody's centre
+        centres.append(unit[int(near.argmin())])
+    centre = np.array(centres)
+    for _ in range(ROUNDS):
+        own = (unit @ centre.T).round(9).argmax(axis=1)
+        sums = np.array([unit[own == k].sum(axis=0) for k in range(count)])
+        norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        centre = np.where(norm > 0, sums / np.maximum(norm, 1e-12), centre)
+    rank = np.argsort(np.argsort(-np.bincount(own, minlength=count), kind="stable"), kind="stable")
+    return rank[own]
+
+
+def train(chain: Chain, x: Presence, labels: np.ndarray, weight: np.ndarray, fold: np.ndarray) -> None:
     """Fit the chain. Thresholds give the best F score out of fold, at the middle of the gap below it."""
-    logits = np.zeros((len(x), 0))
+    logits, d = np.zeros((len(fold), 0)), x.shape[1]
     for j in range(len(chain.categories)):
         y = labels[:, j].astype(float)
-        inputs = np.column_stack([x, logits])
-        out = np.zeros(len(x))
+        out = np.zeros(len(fold))
         for k in range(FOLDS):
             test = fold == k
             if test.any() and (~test).any():
-                out[test] = np.column_stack([inputs[test], np.ones(test.sum())]) @ linear(inputs[~test], y[~test], weight[~test])
+                beta = linear(x.part(~test), logits[~test], y[~test], weight[~test])
+                out[test] = x.part(test).times(beta[:d]) + logits[test] @ beta[d:-1] + beta[-1]
         out = np.clip(out, -8, 8)
-        chain.betas.append(linear(inputs, y, weight))
+        chain.betas.append(linear(x, logits, y, weight))
         order = np.argsort(-out, kind="stable")
         hit, miss = np.cumsum((weight * y)[order]), np.cumsum((weight * (1 - y))[order])
         f = (1 + BETA**2) * hit / (hit + miss + BETA**2 * (weight * y).sum() + 1e-9)
@@ -137,84 +203,88 @@ def fit(
     docs: DataFrame,
     labels: DataFrame,
     label: str = "toxic",
-    seeds: dict[str, tuple[str, ...]] | None = None,
+    earlier: tuple[str, ...] = (),
     most_positive: int = MOST_POSITIVE,
     most_negative: int = MOST_NEGATIVE,
-    most_features: int = MOST_FEATURES,
 ) -> Chain:
-    """A chain from ``docs`` (doc_id, text) and ``labels`` (doc_id, 0/1 in ``label`` and, without seeds, in no other column).
-
-    ``seeds``: earlier categories; a text has one if it is labelled and holds
-    a seed word. Of each side of ``label`` documents are drawn by a hash of
-    the id until about the bound is met, weighted back to their share; equal
-    texts count once. Null ids, labels and texts are left out; an id labelled
+    """A chain from ``docs`` (doc_id, text) and ``labels`` (doc_id, 0/1 in ``label`` and in the columns ``earlier``).
+
+    The categories are ``earlier`` and then ``label``; without ``earlier`` they
+    are KINDS kinds of ``label`` (kind_1 is the most frequent; one that no
+    document has is never predicted). Of each side of ``label`` documents are
+    drawn by a hash of the id until about the bound is met, weighted back to
+    their share; equal texts count once and take the larger labels. Null ids,
+    labels and texts are left out (a null in ``earlier`` is 0); an id labelled
     twice takes the larger label. Without a labelled document on both sides
     nothing is toxic.
     """
-    seeds = SEEDS if seeds is None else seeds
-    chain = Chain([*seeds, label], {})
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+    names = [*(earlier or [f"kind_{k + 1}" for k in range(KINDS)]), label]
+    chain = Chain(names, {})
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(
+        F.max(F.col(label).cast("int")).alias("y"), F.array(*[F.max(F.coalesce(F.col(f"`{c}`").cast("int"), F.lit(0))) for c in earlier]).cast("array<int>").alias("more")
+    )
     known = known.withColumn("_draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30))
     sizes = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     share = {y: min(1.0, most / max(1, sizes.get(y, 0))) for y, most in ((1, most_positive), (0, most_negative))}
-    drawn = checkpointed(known.where(F.col("_draw") < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).select(F.col("doc_id").alias("_id"), "y"))
+    drawn = checkpointed(
+        known.where(F.col("_draw") < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).select(F.col("doc_id").alias("_id"), "y", "more")
+    )
     texts = docs.where("text is not null").select("doc_id", "text")
-    sample = texts.join(small_or_shuffled(drawn, drawn.count(), 24), F.col("doc_id") == F.col("_id"))
-    sample = checkpointed(sample.select("text", "y"))
-    distinct = sample.groupBy("text").agg(F.max("y").alias("y"))
+    sample = texts.join(small_or_shuffled(drawn, drawn.count(), 32 + 8 * len(earlier)), F.col("doc_id") == F.col("_id"))
+    sample = checkpointed(sample.select("text", "y", "more"))
+    most = F.array(*[F.max(F.get("more", F.lit(i))) for i in range(len(earlier))]).cast("array<int>")
+    distinct = sample.groupBy("text").agg(F.max("y").alias("y"), most.alias("more"))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: tuple[Counter, Counter] = Counter(), Counter()
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 total[y].update(features(text))
-        names = list(total[0].keys() | total[1].keys())
+        found = list(total[0].keys() | total[1].keys())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array([total[1][w] for w in names], pa.int64()), pa.array([total[0][w] for w in names], pa.int64())],
+            [pa.array(found, pa.string()), pa.array([total[1][w] for w in found], pa.int64()), pa.array([total[0][w] for w in found], pa.int64())],
             ["feature", "pos", "neg"],
         )
 
     sides = {r[0]: r[1] for r in distinct.groupBy("y").count().collect()}
     n1, n0 = sides.get(1, 0), sides.get(0, 0)
     if not n1 or not n0:
-        chain.betas = [np.array([-8.0] if not j else [0.0] * j + [-8.0]) for j in range(len(chain.categories))]
-        chain.thresholds = [2.0] * len(chain.categories)
+        chain.betas = [np.array([0.0] * j + [-8.0]) for j in range(len(names))]
+        chain.thresholds = [2.0] * len(names)
         return chain
-    table = distinct.mapInArrow(counts, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
+    table = distinct.select("text", "y").mapInArrow(counts, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
     a, b = F.col("a"), F.col("b")
     gap = a * n0 - b * n1
-    chi = gap * gap / ((a + b) * (F.lit(float(n1 + n0)) - a - b + 1))
-    chosen = (
-        table.where((a >= SUPPORT) & ((a + 0.5) / n1 >= LIFT * (b + 0.5) / n0))
-        .orderBy(chi.desc(), "feature")
-        .limit(most_features)
-        .collect()
-    )
-    chain.vocabulary = {r[0]: j for j, r in enumerate(chosen)}
-    blank = Chain(chain.categories, chain.vocabulary)
-    wanted = [frozenset(words) for words in seeds.values()]
+    chi = gap * gap * F.lit((n1 + n0) / (n1 * n0)) / ((a + b) * (F.lit(float(n1 + n0)) - a - b + 1))
+    chosen = {r[0]: r[1] * n0 > r[2] * n1 for r in table.where((a + b >= SUPPORT) & (chi >= CHI)).collect()}
+    chain.vocabulary = {w: j for j, w in enumerate(sorted(chosen))}
+    blank = Chain(names, chain.vocabulary)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
-            texts, ys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = batch.column(0).to_pylist()
             x = blank.matrix(texts, cache)
-            found = [set(_WORD.findall(t.lower())) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([np.flatnonzero(r) for r in x], pa.list_(pa.int64())),
-                    pa.array([[int(bool(y and f & s)) for s in wanted] + [y] for f, y in zip(found, ys)], pa.list_(pa.int64())),
+                    pa.array(np.split(x.cols, np.searchsorted(x.rows, np.arange(1, len(texts)))), pa.list_(pa.int64())),
+                    pa.array([[*m, y] for m, y in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist())], pa.list_(pa.int64())),
                     pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64()),
                 ],
                 ["on", "y", "fold"],
             )
 
     data = distinct.mapInArrow(rows, "on array<long>, y array<long>, fold long").collect()
-    data.sort(key=lambda r: r[2])
-    x = np.zeros((len(data), len(chain.vocabulary)), np.float64)
-    for i, r in enumerate(data):
-        x[i, r[0]] = 1
+    data.sort(key=lambda r: (r[2], r[0]))
+    x = Presence(
+        np.repeat(np.arange(len(data)), [len(r[0]) for r in data]), np.array([j for r in data for j in r[0]], np.int64), (len(data), len(chain.vocabulary))
+    )
     y = np.array([r[1] for r in data])
+    if not earlier:
+        more = np.array([j for w, j in chain.vocabulary.items() if chosen[w]], np.int64)
+        kind = np.full(len(y), -1)
+        kind[y[:, -1] == 1] = kinds(x.part(y[:, -1] == 1).dense()[:, more])
+        y = np.column_stack([*(kind == k for k in range(KINDS)), y]).astype(int)
     weight = np.where(y[:, -1] == 1, 1 / share[1], 1 / share[0])
     train(chain, x, y, weight * len(weight) / weight.sum(), np.array([r[2] % FOLDS for r in data]))
     return chain
