@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -130,7 +131,7 @@ def test_short_texts_are_ranked_to_the_last():
 
 def test_index_scores_are_bm25():
     docs_ = [np.array(x, np.uint32) for x in ([5, 5, 7, 9], [5, 7, 8, 8, 8, 8], [9, 9, 1], [2, 3])]
-    index = packing.Index(docs_)
+    index = packing.Index(docs_, packing.corpus_of(docs_))
     mean = np.mean([len(x) for x in docs_])
     for t in range(10):
         holders = [d for d in range(4) if t in docs_[d]]
@@ -147,3 +148,32 @@ def test_long_text_is_cut(spark, exact):
     rows = [(1, prose(3, 20_000), "en", "s", 0), (2, "short", "en", "s", 0)]
     got = packing.pack(docs(spark, rows)).collect()
     assert check(got, [(1, rows[0][1]), (2, "short")], exact, 2048) == 0
+
+
+def test_related_documents_meet_from_anywhere(spark, exact):
+    """Documents of 40 subjects, dealt over 16 partitions: windows hold far fewer subjects than blocks of stored rows would give."""
+    rng = np.random.default_rng(6)
+    with open(packing.default_paths()[0], encoding="utf-8") as file:
+        whole = sorted(w[1:] for w in json.load(file)["model"]["vocab"] if w[0] == "\u0120" and w[1:].isascii() and w[1:].islower() and len(w) > 6)
+    names = rng.permutation(whole)[:1200].reshape(40, 30)  # words of one token each
+    rows = [(i, " ".join(rng.choice(names[i % 40], 40)), "en", "s", 0) for i in range(800)]
+    got = packing.pack(docs(spark, rows).repartition(16), window=512).collect()
+    by_sequence = {}
+    for r in got:
+        by_sequence.setdefault(r.sequence_id, set()).add(r.doc_id % 40)
+    stored = []
+    for part in range(16):
+        mine = [r for r in rows if r[0] // 40 % 16 == part]
+        ids = [np.append(exact(r[1]), 1).astype(np.uint32) for r in mine]
+        stored += [len({mine[d][0] % 40 for d, _, _ in w}) for w in packing.packed(ids, 512, 24, 64)]
+    assert np.mean([len(x) for x in by_sequence.values()]) < 0.5 * np.mean(stored)
+
+
+def test_frequencies_are_the_corpus(spark, exact):
+    frame = docs(spark).repartition(5)
+    coded = packing.encoded(frame, "doc_id", 1, tuple(packing.default_paths())).collect()
+    total = Counter()
+    for r in coded:
+        total.update(dict(zip(r.terms or (), r.counts or ())))
+    want = Counter(t for r in ROWS for t in set(exact(r[1]) if r[1] else []) | {1})
+    assert total == want and sum(r.ids is not None for r in coded) == len(ROWS)
