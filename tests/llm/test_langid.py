@@ -118,7 +118,39 @@ def test_rejection(spark):
     assert got[1].lang_pred == "und" and got[1].rejected and got[2].lang_pred == "en"
 
 
-def test_too_many_languages(spark):
-    rows = [(i, "text", f"l{i}", "s", 0) for i in range(200)]
-    with pytest.raises(ValueError):
-        langid.fit(docs(spark, rows))
+def test_many_languages_are_learned_in_groups(spark):
+    rng = np.random.default_rng(1)
+    words = {k: ["".join(map(chr, rng.integers(0x4E00 + 90 * k, 0x4E00 + 90 * k + 60, 3))) for _ in range(20)] for k in range(70)}
+    rows = [(i, " ".join(rng.choice(words[i % 70], 30)), f"l{i % 70:02}", "s", 0) for i in range(1400)]
+    models = langid.fit(docs(spark, rows))
+    assert len(models.langs) == 70 and len(models.groups) == 3
+    got = langid.predicted(docs(spark, rows), models).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id % 70:02}" for r in got) >= 0.99 * len(rows)
+
+
+def test_groups_change_nothing():
+    tables = {f"l{k}": langid.estimate([t + "xyzw"[k] * 3 for t in TEXTS]) for k in range(4)}
+    one, two = langid.Models(tables), langid.Models(tables, group=3)
+    assert np.allclose(one.entropies(TEXTS)[0], two.entropies(TEXTS)[0], rtol=1e-5)
+
+
+@pytest.mark.parametrize("most", [500, 1 << 16])
+def test_probabilities_sum_to_one_under_the_cap(spark, most):
+    texts = [r.text for r in table(spark, SMALL, "documents").where("lang = 'de'").collect() if r.text]
+    tables = langid.estimate(texts, 4, most)
+    assert most > 500 or any(len(t[0]) == most for t in tables.values())
+    models = langid.Models({"de": tables})
+    seen = sorted({c for t in texts for c in normal(t, 1)})
+    total = lambda t: models.entropies([t])[0][0, 0] * len(t)
+    for context in ("einer", "der sch", "xqj", "ver"):
+        assert context[-1] != " "
+        mass = sum(2 ** (total(context) - total(context + c)) for c in seen)
+        assert mass + len(seen) * 2 ** (total(context) - total(context + "Ж".lower())) == pytest.approx(1, abs=2e-3)
+
+
+def test_every_language_is_learned(spark):
+    """One document, or few that are longer than the sample, still teach their language."""
+    rows = [(i, "the cat sat on the mat", "en", "s", 0) for i in range(50)]
+    rows += [(1000 + i, f"жёлтый щит {i} " * 300, "ru", "s", 0) for i in range(8)]
+    rows += [(k, "ein hund und eine katze", "de", "s", 0) for k in range(2000, 2010) if zlib.crc32(str(k).encode()) % 4 != 2][:1]
+    assert langid.fit(docs(spark, rows), sample_chars=200).langs == ["de", "en", "ru"]

@@ -1,9 +1,9 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One model per language is estimated from a bounded sample of labelled
-documents. All models are merged into sorted arrays of n-gram hashes with a row
-of log probabilities (a column per language), so that one binary search finds
-an n-gram for all languages. A text is scored as a whole; the lowest
+documents. Models are merged, up to GROUP languages at a time, into sorted
+arrays of n-gram hashes with a row of log probabilities (a column per
+language), so that one binary search finds an n-gram for all of them. A text is scored as a whole; the lowest
 cross-entropy per character wins. A text whose cross-entropy lies above what
 held-back documents of the winning language show is marked as rejected.
 """
@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed
+from tidemark.llm.common import checkpointed, small_or_shuffled
 
 ORDER = 4
-#: Bounds of the fit: characters per language in the sample, n-grams per language and order, and languages.
-SAMPLE_CHARS, MOST_GRAMS, MOST_LANGUAGES = 2_000_000, 1 << 16, 32
+#: Bounds of the fit: characters per language in the sample, and n-grams per language and order. Where there are more languages
+#: than GROUP, the n-grams that GROUP languages may have are shared among all, so that the models' size is bounded for any number.
+SAMPLE_CHARS, MOST_GRAMS, GROUP = 2_000_000, 1 << 16, 32
 #: Every so many sampled documents one is held back for calibration.
 HOLD_BACK = 5
 #: Share of a language's held-back documents that may lie over its rejection limit, and the slack in bits.
@@ -74,7 +75,10 @@ def estimate(texts: list[str], order: int = ORDER, most: int = MOST_GRAMS) -> di
 
     Per order: n-gram hashes, their contexts' and suffixes' hashes, counts, and
     per context the weight of the lower order. The highest order counts
-    occurrences, lower ones the different characters seen before an n-gram.
+    occurrences, lower ones the different characters seen before an n-gram. Of
+    more than ``most`` n-grams the most frequent are kept (of equal ones those with smaller
+    hashes); what the others had goes to their contexts' lower order, so that
+    probabilities still sum to one.
     """
     sym, _, _ = symbols(texts, order)
     hashes = rolled(sym, order)
@@ -93,7 +97,10 @@ def estimate(texts: list[str], order: int = ORDER, most: int = MOST_GRAMS) -> di
         weight = discount * np.bincount(inverse) / total if len(keys) else total
         main = (counts - discount) / total[inverse] if len(keys) else counts.astype(float)
         if len(grams) > most:
-            top = np.sort(np.argpartition(-counts, most)[:most])
+            top = np.sort(np.argsort(-counts, kind="stable")[:most])
+            gone = np.ones(len(grams), bool)
+            gone[top] = False
+            weight = weight + np.bincount(inverse[gone], main[gone], len(keys))
             tables[n] = (grams[top], context[top], suffix[top], main[top], keys, weight)
         else:
             tables[n] = (grams, context, suffix, main, keys, weight)
@@ -111,15 +118,16 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
-class Models:
-    """All languages' models in common sorted arrays: per order n-grams with log probabilities, contexts with log weights."""
+class Tables:
+    """Some languages' models in common sorted arrays: per order n-grams with log probabilities, contexts with log weights.
+
+    ``size``: the characters there may be; those not seen share the rest.
+    """
 
-    def __init__(self, tables: dict[str, dict], order: int = ORDER):
+    def __init__(self, tables: dict[str, dict], size: int, order: int = ORDER):
         self.langs, self.order = sorted(tables), order
         count = len(self.langs)
-        size = max([2, *[len(t[1][0]) for t in tables.values()]]) * 2  # characters beyond those seen share the rest
         self.grams, self.logp, self.contexts, self.logw = [], [], [], []
-        self.temperature, self.limits = 8.0, np.full(count, np.inf)
         lower = None
         for n in range(1, order + 1 if count else 1):
             parts = [tables[x][n] for x in self.langs]
@@ -146,21 +154,6 @@ class Models:
             self.logw.append(np.log(weights).astype(np.float32))
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits per character under each language, and the number of letters, of every whole text."""
-        bits, letters = [np.zeros((0, len(self.langs)))], [np.zeros(0, np.int64)]
-        at = 0
-        while at < len(texts):
-            end, held = at, 0
-            while end < len(texts) and (end == at or held + len(texts[end]) <= _CHUNK):
-                held += len(texts[end])
-                end += 1
-            b, n = self._chunk(texts[at:end])
-            bits.append(b)
-            letters.append(n)
-            at = end
-        return np.concatenate(bits), np.concatenate(letters)
-
-    def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sym, starts, letters = symbols(texts, self.order)
         hashes = rolled(sym, self.order)
         total = np.zeros((len(texts), len(self.langs)))
@@ -185,6 +178,31 @@ class Models:
         np.add.at(total, owner[todo], self.rest)
         return -total / np.log(2) / np.maximum(count, 1)[:, None], letters
 
+
+class Models:
+    """All languages' models, in groups, and what turns their cross-entropies into a verdict."""
+
+    def __init__(self, tables: dict[str, dict], order: int = ORDER, group: int = GROUP):
+        self.langs = sorted(tables)
+        size = max([2, *[len(t[1][0]) for t in tables.values()]]) * 2
+        self.groups = [Tables({x: tables[x] for x in self.langs[at : at + group]}, size, order) for at in range(0, len(self.langs), group)]
+        self.temperature, self.limits = 8.0, np.full(len(self.langs), np.inf)
+
+    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits per character under each language, and the number of letters, of every whole text."""
+        bits, letters = [np.zeros((0, len(self.langs)))], [np.zeros(0, np.int64)]
+        at = 0
+        while at < len(texts):
+            end, held = at, 0
+            while end < len(texts) and (end == at or held + len(texts[end]) <= _CHUNK):
+                held += len(texts[end])
+                end += 1
+            found = [g.entropies(texts[at:end]) for g in self.groups]
+            bits.append(np.concatenate([b for b, _ in found], axis=1))
+            letters.append(found[0][1])
+            at = end
+        return np.concatenate(bits), np.concatenate(letters)
+
     def calibrate(self, bits: np.ndarray, truth: np.ndarray) -> None:
         """Fit the temperature (least log loss of the labels) and each language's rejection limit."""
         if not len(truth):
@@ -222,32 +240,32 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, sample_chars: int = SAMPLE_CHARS, order: int = ORDER) -> Models:
     """Models from ``docs`` (doc_id, text, lang), of those with an id, a text and a language that aren't held out.
 
-    Per language documents are drawn by a hash of id and text until about
-    ``sample_chars`` characters are there (at most twice that); texts are used
-    whole. Languages beyond MOST_LANGUAGES raise an error instead of being
-    dropped.
+    Per language documents are drawn by a hash of id and text, the smallest
+    first, until about ``sample_chars`` characters are there (at most twice
+    that, unless one text has more); texts are used whole. Every language has at
+    least one document that is learned from, and only others are held back for
+    calibration. The driver sees a row per language.
     """
     known = docs.where("doc_id is not null and text is not null and lang is not null").where(~held_out(F.col("doc_id")))
-    known = known.select("doc_id", "text", "lang")
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").agg(F.sum(F.length("text"))).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not sizes:
+    known = known.select("doc_id", "text", "lang").withColumn("_draw", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)))
+    per_lang = known.groupBy("lang").agg(F.sum(F.length("text").cast("long")).alias("chars"), F.min("_draw").alias("_first"), F.max(F.octet_length("lang")).alias("_name"))
+    shares = checkpointed(per_lang.withColumn("_most", F.least(F.lit(1.0), F.lit(float(sample_chars)) / F.greatest("chars", F.lit(1))) * (1 << 30)))
+    langs, name = shares.agg(F.count("*"), F.coalesce(F.max("_name"), F.lit(0))).first()
+    if not langs:
         return Models({}, order)
-    share = F.lit(0.0)
-    for lang, size in sorted(sizes.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_chars / max(1, size)))).otherwise(share)
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    sample = checkpointed(known.withColumn("_draw", draw).where(F.col("_draw") < share * (1 << 30)))
-    back = F.pmod(F.xxhash64("_draw"), F.lit(HOLD_BACK)) == 0
+    most = MOST_GRAMS if langs <= GROUP else max(1, MOST_GRAMS * GROUP // langs)
+    shares = small_or_shuffled(shares.select(F.col("lang").alias("_lang"), "_first", "_most"), langs, name + 32)
+    drawn = known.join(shares, F.col("lang") == F.col("_lang")).where((F.col("_draw") < F.col("_most")) | (F.col("_draw") == F.col("_first")))
+    sample = checkpointed(drawn.select("text", "lang", "_draw", "_first"))
+    back = (F.pmod(F.xxhash64("_draw"), F.lit(HOLD_BACK)) == 0) & (F.col("_draw") > F.col("_first"))
 
     def learn(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         texts, held = [], 0
         for text in group.sort_values(["_draw", "text"])["text"]:
-            if held + len(text) <= 2 * sample_chars:
+            if not texts or held + len(text) <= 2 * sample_chars:
                 texts.append(text)
                 held += len(text)
-        return pd.DataFrame({"lang": [key[0]], "tables": [pickle.dumps(estimate(texts, order))]})
+        return pd.DataFrame({"lang": [key[0]], "tables": [pickle.dumps(estimate(texts, order, most))]})
 
     learned = sample.where(~back).groupBy("lang").applyInPandas(learn, "lang string, tables binary").collect()
     models = Models({r[0]: pickle.loads(r[1]) for r in learned}, order)
