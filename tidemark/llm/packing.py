@@ -61,6 +61,9 @@ class Corpus:
         """The ROUTE heaviest terms (of equal ones the larger id), -1 where there are fewer."""
         terms, tf = _counted(ids)
         weight = self.weights(terms, tf, np.float32(len(ids)))
+        if len(terms) > ROUTE:  # all that weigh as much as the last of the heaviest
+            near = weight >= np.partition(weight, -ROUTE)[-ROUTE]
+            terms, weight = terms[near], weight[near]
         top = terms[np.lexsort((terms, weight))[::-1][:ROUTE]].tolist()
         return top + [-1] * (ROUTE - len(top))
 
@@ -316,7 +319,7 @@ def pack(
             yield from flush(keys, ids)
 
     schema = f"key {kind}, ids binary, wide boolean, {', '.join(f'{r} int' for r in route)}"
-    placed = checkpointed(rows.mapInArrow(routed, schema).withColumn("salt", F.xxhash64("ids")))
+    placed = rows.mapInArrow(routed, schema).withColumn("salt", F.xxhash64("ids"))  # run twice, for the ranges and for the rows: cheaper than another copy
     order = [*route, "salt", "key"]
     dealt = placed.repartitionByRange(*order).sortWithinPartitions(*order)
     return dealt.select("key", "ids", "wide").mapInArrow(run, f"`{key}` {kind}, {PIECE_SCHEMA}")
