@@ -195,6 +195,15 @@ def test_similar_sets_share_a_leading_shingle():
                 assert np.intersect1d(simhash_wide.leading(a, (common, counts)), simhash_wide.leading(b, (common, counts))).size
 
 
+def test_coordinates_never_differ_by_more_than_the_sets():
+    rng = np.random.default_rng(5)
+    for n in (1, 9, 100, 5000, 60_000):
+        a = rng.integers(0, 2**63, n, dtype=np.uint64)
+        b = np.concatenate([a[n // 7 :], rng.integers(0, 2**63, n // 9, dtype=np.uint64)])
+        x, y = (simhash_wide.coordinates(np.unique(s)).view(np.uint8).astype(int) for s in (a, b))
+        assert np.abs(x - y).sum() <= len(np.setxor1d(a, b))
+
+
 def test_fingerprints_keep_pairs_at_the_limit():
     """Differing bits of sets at 0.8 stay far from where pairs are discarded, for short sets too."""
     rng = np.random.default_rng(4)
