@@ -48,7 +48,7 @@ def test_broadcast_only_what_was_counted(spark):
     big, small = spark.range(10_000), lookup_table(spark)
     assert inspect_plan(joins.broadcast_join(big, small, "id")).joins == ["BroadcastHashJoin"]
     with no_broadcast(spark):
-        assert inspect_plan(joins.broadcast_join(big, small, "id", max_rows=3)).joins == ["SortMergeJoin"]
+        assert inspect_plan(joins.broadcast_join(big, small, "id", max_bytes=3)).joins == ["SortMergeJoin"]
     assert inspect_plan(joins.merge_join(big, small, "id")).joins == ["SortMergeJoin"]
 
 

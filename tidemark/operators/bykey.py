@@ -49,9 +49,11 @@ def int_mean(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.expr(f"sum(`{value}`) div count(`{value}`)").alias("int_mean"), F.avg(value).alias("mean"))
 
 
-def joined_names(df: DataFrame, value: str, sep: str = ", ") -> DataFrame:
-    """All values in one string, in order."""
-    return df.agg(F.array_join(F.array_sort(F.collect_list(value)), sep).alias("names"))
+def joined_names(df: DataFrame, value: str, sep: str = ", ", most: int = 1_000_000) -> DataFrame:
+    """All values in one string, in order. The string is one row: more than ``most`` values raise an error."""
+    few = F.count(value) <= most
+    names = df.limit(most + 1).agg(F.collect_list(value).alias("v"), few.alias("few"))
+    return names.select(F.when(F.col("few"), F.array_join(F.array_sort("v"), sep)).otherwise(F.raise_error(F.lit(f"more than {most} values"))).alias("names"))
 
 
 def text_stats(df: DataFrame, key: str, text: str, target: str) -> DataFrame:

@@ -27,13 +27,18 @@ def cross(left: DataFrame, right: DataFrame, drop_null: str | None = None) -> Da
     return (left if drop_null is None else left.where(F.col(drop_null).isNotNull())).crossJoin(right)
 
 
-def broadcast_join(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = 1_000_000) -> DataFrame:
-    """Send the small side to every executor, after checking that it has at most ``max_rows`` rows.
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a frame's size, from its sources' statistics; nothing is run. Unknown sizes are huge."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-    The check reads at most max_rows + 1 rows. A larger side is shuffled.
+
+def broadcast_join(big: DataFrame, small: DataFrame, on, how: str = "inner", max_bytes: int = 32 << 20) -> DataFrame:
+    """Send the small side to every executor if it is estimated at ``max_bytes`` or less.
+
+    A larger side, or one of unknown size, has no hint: adaptive execution
+    broadcasts it if its measured size is small, and shuffles it otherwise.
     """
-    fits = small.limit(max_rows + 1).count() <= max_rows
-    return big.join(F.broadcast(small) if fits else small, on, how)
+    return big.join(F.broadcast(small) if estimated_bytes(small) <= max_bytes else small, on, how)
 
 
 def merge_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -151,15 +156,19 @@ def pre_aggregated_max(facts: DataFrame, dims: DataFrame, key: str, value: str,
     return dims.join(facts.groupBy(key).agg(F.max(value).alias("best")), key)
 
 
-def salted(left: DataFrame, right: DataFrame, key: str, salts: int, how: str = "inner") -> DataFrame:
-    """Join with a hot key on the left: its rows are spread over ``salts`` parts, the right side is repeated for each.
+def salted(left: DataFrame, right: DataFrame, key: str, salts: int, how: str = "inner", hot: list | None = None) -> DataFrame:
+    """Join with hot keys on the left: their rows are spread over ``salts`` parts by position, the right side's are repeated for each.
 
-    For joins that keep no unmatched right rows (inner, left, semi, anti).
+    ``hot``: the keys in question (``partitioning.skew_report`` finds them);
+    without it all keys are spread. Equal rows are spread too. For joins that
+    keep no unmatched right rows (inner, left, semi, anti).
     """
     if KINDS[how] in ("right", "full"):
         raise ValueError("unmatched right rows would be repeated")
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    none, every = F.lit(0).cast("long"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+    is_hot = F.lit(True) if hot is None else F.coalesce(F.col(key).isin(hot), F.lit(False))
+    spread = left.withColumn("_salt", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(none))
+    copies = right.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(none))))
     return spread.join(copies, [key, "_salt"], KINDS[how]).drop("_salt")
 
 
