@@ -213,3 +213,15 @@ def test_fingerprints_keep_pairs_at_the_limit():
             grams = rng.integers(0, 2**63, n + n // 9, dtype=np.uint64)
             worst = max(worst, int(np.bitwise_count(simhash_wide.fingerprint(grams[: n]) ^ simhash_wide.fingerprint(grams[n // 9 :])).sum()))
         assert worst <= simhash_wide.limits(0.8)[1] - 5, n
+
+
+@pytest.mark.parametrize("cell", [8, 2048])
+def test_pairs_that_met_before_are_no_loss(spark, cell):
+    rng = random.Random(12)
+    words = [f"v{rng.randrange(5000)}" for _ in range(120)]
+    rows = [(i, " ".join(edited(rng, words, rng.randrange(9))), "en", "s", 0) for i in range(50)]
+    hashed = docs(spark, rows).withColumns(simhash_wide._hashed(F.col("text")))
+    prints = simhash_wide.wide_prints(hashed, simhash_wide.common_shingles(hashed))
+    met = simhash_wide.meeting(prints, cell)
+    found = [{tuple(r) for r in simhash_wide.candidates(met, forest=False, previous=k).collect()} for k in (0, simhash_wide.PREVIOUS)]
+    assert found[0] == found[1] and len(found[0]) > 100
