@@ -72,3 +72,22 @@ def test_library_works_without_the_corpus_subpackage(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+@pytest.mark.parametrize("name", ["band_join_bucketed"])
+def test_band_joins_form_pairs_of_distinct_sizes_only(spark, tmp_path, monkeypatch, name):
+    part = spark.range(6000).selectExpr("id AS p_partkey", "'b' AS p_brand", "CAST(id % 3 * 2 AS int) AS p_size", "CAST(id % 7 AS double) AS p_retailprice")
+    part.unionByName(spark.sql("SELECT -1L AS p_partkey, 'b' AS p_brand, CAST(NULL AS int) AS p_size, 1D AS p_retailprice")).write.parquet(f"{tmp_path}/part.parquet")
+    sizes = []
+
+    def counted(join):
+        return lambda a, b, *rest, **named: sizes.append((a.count(), b.count())) or join(a, b, *rest, **named)
+
+    for join in ("band_join", "tick_join"):
+        monkeypatch.setattr(queries.joins, join, counted(getattr(queries.joins, join)))
+    got = {r.p_partkey: (r.n, r.avg_price) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    near = 2 if name == "band_join_wide" else 1
+    assert sizes == [(3, 3)] and len(got) == 6000
+    for key in (0, 1, 2):
+        prices = [i % 7 for i in range(6000) if abs(i % 3 * 2 - key * 2) <= near]
+        assert got[key] == (len(prices), round(sum(prices) / len(prices), 4))

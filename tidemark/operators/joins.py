@@ -7,6 +7,7 @@ size; everything else is shuffled on its keys.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,6 +121,22 @@ def tick_aggregate(left: DataFrame, right: DataFrame, on: list[str], value: str,
     return joined.select(*left.columns, F.col("s_r").alias(f"sum_{measure}"), F.col("pairs_r").alias("n_near"), mean)
 
 
+def band_aggregate(left: DataFrame, right: DataFrame, on: list[str], value: str, measure: str, near: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Sum, count and mean of ``measure`` over each left row's band, with pairs only between distinct values.
+
+    ``near`` is a band join of two frames with columns ``on`` and ``value``, in
+    any of its forms. It gets the left side's distinct keys and values and the
+    right side's sums for each of its own, so a frequent key or value costs a
+    row per distinct value, whatever its rows. Each left row looks up one row;
+    those without neighbours, or with null keys or values, go, as in the join.
+    """
+    points = left.select(*on, value).where(F.col(value).isNotNull()).distinct()
+    sums = right.where(F.col(value).isNotNull()).groupBy(*on, value).agg(F.sum(measure).alias("_s"), F.count(measure).alias("_n"), F.count("*").alias("_pairs"))
+    found = near(points, sums).groupBy(*on, value).agg(*[F.sum(f"{c}_r").alias(c) for c in ("_s", "_n", "_pairs")])
+    mean = (F.col("_s") / F.when(F.col("_n") > 0, F.col("_n"))).alias(f"mean_{measure}")
+    return left.join(found, [*on, value]).select(*left.columns, F.col("_s").alias(f"sum_{measure}"), F.col("_pairs").alias("n_near"), mean)
+
+
 def _all(tests: list[Column]) -> Column:
     out = tests[0]
     for test in tests[1:]:
