@@ -74,7 +74,7 @@ def test_library_works_without_the_corpus_subpackage(tmp_path):
     assert done.returncode == 0, done.stderr
 
 
-@pytest.mark.parametrize("name", ["band_join_bucketed", "band_join_naive", "band_join_ticks"])
+@pytest.mark.parametrize("name", ["band_join_bucketed", "band_join_naive", "band_join_ticks", "band_join_wide"])
 def test_band_joins_form_pairs_of_distinct_sizes_only(spark, tmp_path, monkeypatch, name):
     part = spark.range(6000).selectExpr("id AS p_partkey", "'b' AS p_brand", "CAST(id % 3 * 2 AS int) AS p_size", "CAST(id % 7 AS double) AS p_retailprice")
     part.unionByName(spark.sql("SELECT -1L AS p_partkey, 'b' AS p_brand, CAST(NULL AS int) AS p_size, 1D AS p_retailprice")).write.parquet(f"{tmp_path}/part.parquet")

@@ -373,9 +373,6 @@ def _band(form: str, width: float = 1):
 
     def run(spark, sf_dir):
         part = _t(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
-        if ("wide" if width != 1 else form) not in ('bucketed', 'naive', 'ticks'):
-            pairs = near(part, part)
-            return pairs.groupBy("p_partkey").agg(F.round(F.avg("p_retailprice_r"), 4).alias("avg_price"), F.count("*").alias("n"))
         got = joins.band_aggregate(part, part, ["p_brand"], "p_size", "p_retailprice", near)
         return got.select("p_partkey", F.round("mean_p_retailprice", 4).alias("avg_price"), F.col("n_near").alias("n"))
 
