@@ -91,3 +91,8 @@ def test_band_joins_form_pairs_of_distinct_sizes_only(spark, tmp_path, monkeypat
     for key in (0, 1, 2):
         prices = [i % 7 for i in range(6000) if abs(i % 3 * 2 - key * 2) <= near]
         assert got[key] == (len(prices), round(sum(prices) / len(prices), 4))
+
+
+@pytest.mark.parametrize("name", ["join_contains", "join_contains_exploded"])
+def test_membership_is_an_equality_join(spark, name):
+    assert not {"BroadcastNestedLoopJoin", "CartesianProduct"} & set(inspect_plan(queries.QUERIES[name](spark, SMALL)).joins)
