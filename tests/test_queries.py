@@ -96,3 +96,8 @@ def test_band_joins_form_pairs_of_distinct_sizes_only(spark, tmp_path, monkeypat
 @pytest.mark.parametrize("name", ["join_contains", "join_contains_exploded"])
 def test_membership_is_an_equality_join(spark, name):
     assert not {"BroadcastNestedLoopJoin", "CartesianProduct"} & set(inspect_plan(queries.QUERIES[name](spark, SMALL)).joins)
+
+
+def test_sessions_are_written_by_the_executors(spark):
+    got = queries.QUERIES["stream_session"](spark, SMALL)
+    assert inspect_plan(got).read_schemas and "MemoryPlan" not in inspect_plan(got).text

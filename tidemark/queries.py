@@ -13,7 +13,7 @@ from tidemark.operators import bykey, columns, joins, partitioning, sinks, topk
 from tidemark.sources import driver_table, range_source, read_json, read_lines
 from tidemark.sources import generators
 from tidemark.session import ship
-from tidemark.streaming import event_stream, run_to_memory, sessions, windowed
+from tidemark.streaming import event_stream, run_to_files, run_to_memory, sessions, windowed
 
 QUERIES = {}
 SQL = {}
@@ -555,12 +555,13 @@ def laptop_offers(spark, sf_dir):
 def _stream(kind: str):
     def run(spark, sf_dir):
         ship(spark)
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        path = f"{spark.conf.get('spark.checkpoint.dir', None) or folder}/events-{uuid.uuid4().hex}"
+        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+        path = f"{folder}/events-{uuid.uuid4().hex}"
         _t(spark, sf_dir, "events").write.parquet(path)
         events = event_stream(spark, path)
         made = {"tumbling": lambda: windowed(events, "1 day"), "sliding": lambda: windowed(events, "2 days", "1 day"), "session": lambda: sessions(events, "6 hours")}[kind]()
-        got = run_to_memory(made, f"tidemark_{kind}_{uuid.uuid4().hex[:8]}")
+        # there are as many sessions as events allow, but only a few windows a day
+        got = run_to_files(made, folder) if kind == "session" else run_to_memory(made, f"tidemark_{kind}_{uuid.uuid4().hex[:8]}")
         rest = [F.round("total", 4).alias("total")] if "total" in got.columns else []
         key = "event_type" if "event_type" in got.columns else "user_id"
         return got.select(F.unix_timestamp("w_start").alias("w_start"), key, "n", *rest)

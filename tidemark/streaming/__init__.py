@@ -45,3 +45,22 @@ def run_to_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataF
         writer = writer.option("checkpointLocation", f"{shared}/stream-{uuid.uuid4().hex}")
     writer.start().awaitTermination()
     return spark.table(name)
+
+
+def run_to_files(stream: DataFrame, folder: str) -> DataFrame:
+    """Read all that is there and stop; the whole result, open windows included, as Parquet under ``folder``.
+
+    For results that grow with the input: the executors write them, and the
+    driver holds none. ``folder`` must be one that all of them share. Each
+    batch writes the whole result, and the last one's is read.
+    """
+    spark, result = stream.sparkSession, f"{folder}/stream-{uuid.uuid4().hex}"
+    last = []
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{result}/result-{batch}")
+        last[:] = [batch]
+
+    writer = stream.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", f"{result}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{result}/result-{last[0]}") if last else spark.createDataFrame([], stream.schema)
