@@ -225,3 +225,15 @@ def test_pairs_that_met_before_are_no_loss(spark, cell):
     met = simhash_wide.meeting(prints, cell)
     found = [{tuple(r) for r in simhash_wide.candidates(met, forest=False, previous=k).collect()} for k in (0, simhash_wide.PREVIOUS)]
     assert found[0] == found[1] and len(found[0]) > 100
+
+
+def test_common_shingles_are_counted_over_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(simhash_wide, "SAMPLE_SHINGLES", 1, raising=False)  # as in a corpus large enough for the sample there was
+    rows = [(i, f"one line that all of them hold {i} {i + 1}" + (" and this rare end of it" if i % 100 == 7 else ""), "en", "s", 0) for i in range(1000)]
+    names, counts = simhash_wide.common_shingles(docs(spark, rows).withColumns(simhash_wide._hashed(F.col("text"))))
+    want = {}
+    for _, text, *_ in rows:
+        for gram in simhash_wide.shingles(text).tolist():
+            want[gram] = want.get(gram, 0) + 1
+    assert dict(zip(names.tolist(), counts.tolist())) == {g: n for g, n in want.items() if n >= simhash_wide.COMMON}
+    assert (np.diff(names.astype(object)) > 0).all()

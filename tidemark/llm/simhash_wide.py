@@ -7,8 +7,8 @@ equal for certain. Keys of the shingles themselves are: if every set is put in
 one common order, two sets that are similar enough share a shingle among the
 first ones of both (a fifth of each, at 0.8), at places from which the rest can
 still make up the overlap. The order is rarest first, so that passages that
-many documents share come last and bring few together. It rests on a sample's
-counts; any order gives the same links.
+many documents share come last and bring few together. It rests on counts over
+all documents; any order gives the same links.
 
 Of the pairs that meet so, fingerprints discard those that lie beyond six
 standard deviations of what 0.8 gives, and pivot tables of sets, which hold how
@@ -26,6 +26,7 @@ for a fifth of its shingles, whatever the number of documents; by these a pair i
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -43,9 +44,9 @@ WORDS = 6
 BITS = 64 * WORDS
 #: Standard deviations of differing bits beyond which a pair is discarded; sets with fewer shingles are never discarded by bits.
 DEVIATIONS, SHORT = 6, 32
-#: The order of shingles rests on the documents with one hash in so many (fewer, down to all, until the sample has about so many
-#: shingles), and takes at most so many that the sample has at least so often.
-SAMPLE_EVERY, SAMPLE_SHINGLES, MOST_COMMON, COMMON = 64, 1 << 22, 1 << 19, 4
+#: Shingles are counted by so many parts of their hash first, sent in so many pieces. Those that may be in so many documents, and
+#: in more than all but one in so many parts hold, are then counted one by one.
+PARTS, PIECES, COMMON, FULLEST = 1 << 22, 256, 4, 64
 #: Rows of a key that are compared in one group; pairs held at a time; groups over which a document's partners are dealt.
 CELL, _HELD, _DEAL = 2048, 1 << 20, 256
 #: A row carries so many of the keys before its own: a pair that shares one of them has met there already.
@@ -112,19 +113,52 @@ def leading(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity
 
 
 def common_shingles(docs: DataFrame, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of the shingles that are most common in a sample of ``docs`` (h1, text)."""
-    words = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // 6
-    every = max(1, min(SAMPLE_EVERY, words // SAMPLE_SHINGLES))
+    """Sorted hashes of the most common shingles of all ``docs`` (text), and in how many documents each is.
+
+    A first pass counts all shingles by PARTS of their hash. A shingle is in no
+    more documents than its part's count says, so that a second pass over all
+    documents, which counts those of the fullest parts one by one, has every
+    shingle with as many documents as such a part needs.
+    """
+
+    def sets(batch: pa.RecordBatch) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint64), *(shingles(x.as_py(), shingle) for x in batch.column(0))])
+
+    def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(PARTS, np.int64)
+        for batch in batches:
+            counts += np.bincount((sets(batch) % np.uint64(PARTS)).astype(np.int64), minlength=PARTS)
+        if counts.any():
+            yield packed(dict(enumerate(np.split(counts, PIECES))))
+
+    def packed(pieces: dict[int, np.ndarray]) -> pa.RecordBatch:
+        counts = [zlib.compress(x.tobytes(), 1) for x in pieces.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array(counts, pa.binary())], ["piece", "counts"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                pieces[piece] = pieces.get(piece, 0) + np.frombuffer(zlib.decompress(counts.as_py()), np.int64)
+        if pieces:
+            yield packed(pieces)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = np.unpackbits(shared.value)
         for batch in batches:
-            sets = [shingles(x.as_py(), shingle) for x in batch.column(0)]
-            names, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            grams = sets(batch)
+            names, n = np.unique(grams[full[(grams % np.uint64(PARTS)).astype(np.int64)] > 0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n)], ["s", "n"])
 
-    sample = docs.where(F.pmod("h1", F.lit(every)) == 0).select("h1", "h2", "text").dropDuplicates(["h1", "h2"]).select("text")
-    counted = sample.mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
-    rows = counted.orderBy(F.col("n").desc(), "s").limit(MOST_COMMON).toPandas()
+    schema = "piece int, counts binary"
+    counts = np.zeros(PARTS, np.int64).reshape(PIECES, -1)
+    for row in docs.select("text").mapInArrow(by_part, schema).repartition("piece").mapInArrow(summed, schema).toLocalIterator():
+        counts[row.piece] = np.frombuffer(zlib.decompress(row.counts), np.int64)
+    counts = counts.ravel()
+    least = max(COMMON, int(np.partition(counts, -(PARTS // FULLEST))[-(PARTS // FULLEST)]) + 1)
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(counts >= least))
+    counted = docs.select("text").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    rows = counted.toPandas()
     names, counts = rows["s"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
     order = np.argsort(names)
     return names[order], counts[order]
