@@ -237,3 +237,42 @@ def test_common_shingles_are_counted_over_all_documents(spark, monkeypatch):
             want[gram] = want.get(gram, 0) + 1
     assert dict(zip(names.tolist(), counts.tolist())) == {g: n for g, n in want.items() if n >= simhash_wide.COMMON}
     assert (np.diff(names.astype(object)) > 0).all()
+
+
+def test_shingles_of_few_documents_bring_none_together(spark):
+    """Each text shares a long passage with one other, and holds more that nobody else has: nothing is left to compare."""
+    rng = random.Random(14)
+    rows = []
+    for i in range(40):
+        passage = [f"p{rng.randrange(10**6)}" for _ in range(60)]
+        for k in range(2):
+            rows.append((2 * i + k, " ".join(passage + [f"v{rng.randrange(10**6)}" for _ in range(240)]), "en", "s", 0))
+    hashed = docs(spark, rows).withColumns(simhash_wide._hashed(F.col("text")))
+    prints = simhash_wide.wide_prints(hashed, simhash_wide.common_shingles(hashed))
+    assert simhash_wide.meeting(prints).count() == 0
+
+
+@pytest.mark.parametrize("block, most", [(1 << 20, 1 << 22), (100, 50)])
+def test_links_in_any_blocks_and_slices(spark, monkeypatch, block, most):
+    monkeypatch.setattr(simhash_wide, "BLOCK", block)
+    monkeypatch.setattr(simhash_wide.met_keys, "__defaults__", (simhash_wide.SIMILARITY, most))
+    rng = random.Random(15)
+    rows = []
+    for length in (5, 7, 12, 30, 90):
+        for _ in range(10):
+            words = [f"v{rng.randrange(400)}" for _ in range(length)]
+            rows += [(len(rows) + k, " ".join(edited(rng, words, k * max(1, length // 45))), "en", "s", 0) for k in range(3)]
+    assert {r.doc_id for r in simhash_wide.deduplicated(docs(spark, rows)).collect()} == survivors(rows)
+
+
+def test_short_sets_just_below_the_limit_are_told_apart():
+    rng = np.random.default_rng(6)
+    below, at = 0, 0  # how many are not discarded
+    for _ in range(300):
+        grams = rng.integers(0, 2**63, 180, dtype=np.uint64)
+        a, b, c = grams[:140], grams[20:160], grams[15:155]  # 40 of 280 differ: 0.75; 30: 0.806
+        far = [int(np.bitwise_count(simhash_wide.fine_coordinates(a) ^ simhash_wide.fine_coordinates(x)).sum()) for x in (b, c)]
+        assert far[0] <= 40 and far[1] <= 30
+        below += far[0] * 1.8 <= 0.2 * 280
+        at += far[1] * 1.8 <= 0.2 * 280
+    assert at == 300 and below < 100

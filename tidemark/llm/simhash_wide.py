@@ -8,19 +8,22 @@ one common order, two sets that are similar enough share a shingle among the
 first ones of both (a fifth of each, at 0.8), at places from which the rest can
 still make up the overlap. The order is rarest first, so that passages that
 many documents share come last and bring few together. It rests on counts over
-all documents; any order gives the same links.
+all documents; any order gives the same links. A fixed part of all hashes (DRAWN) comes first, by exact
+counts, so that a document sends three eighths of its shingles to be counted and
+knows nearly always a fifth that come before all others. What comes back are the shingles that another document has
+too; where those that nobody else has fill the first fifth, nothing is left to compare.
 
 Of the pairs that meet so, fingerprints discard those that lie beyond six
 standard deviations of what 0.8 gives, and pivot tables of sets, which hold how
-many shingles lie in each of 64 reference sets, those whose coordinates differ
+many shingles lie in each of 64 reference sets, and up to two of them in each of 256, those whose coordinates differ
 by more than such a pair's shingles can (for certain). The survivors are decided
 by their whole shingle sets. No link is made without that. Verification runs in three
 rounds: for a spanning forest of likely links among the documents that have
 their smallest or largest shared key in common, for one over the components
 that each key has then, and last for all pairs that are in different components
 still. So a group of near copies costs two links for each, not all pairs. Large groups are cut into cells, each pair of cells being
-a task's group of its own. Per document the shuffles carry a key and the three before it, 48 bytes,
-for a fifth of its shingles, whatever the number of documents; by these a pair is named once, not at every key it shares.
+a task's group of its own. Per document the shuffles carry 8 bytes for three eighths of its shingles, whatever the number
+of documents, and a key and the three before it for each leading one that is shared; by these a pair is named once, not at every key it shares.
 """
 
 from __future__ import annotations
@@ -47,6 +50,12 @@ DEVIATIONS, SHORT = 6, 32
 #: Shingles are counted by so many parts of their hash first, sent in so many pieces. Those that may be in so many documents, and
 #: in more than all but one in so many parts hold, are then counted one by one.
 PARTS, PIECES, COMMON, FULLEST = 1 << 22, 256, 4, 64
+#: Hashes below this are ordered by their counts, before all others. Of a hash with its document's place in a block of ids 47 bits
+#: are kept, and one that says whether it is one of those.
+DRAWN = np.uint64(3 << 61)
+_PLACE, _KEY, _OTHER = np.uint64((1 << 16) - 1), ~np.uint64((1 << 17) - 1), np.uint64(1 << 16)
+#: Shingles counted by a task at most (of one block of ids at least), and those of a block of ids.
+SLICE, BLOCK = 1 << 22, 1 << 20
 #: Rows of a key that are compared in one group; pairs held at a time; groups over which a document's partners are dealt.
 CELL, _HELD, _DEAL = 2048, 1 << 20, 256
 #: A row carries so many of the keys before its own: a pair that shares one of them has met there already.
@@ -54,7 +63,9 @@ PREVIOUS = 3
 _CHUNK = 1 << 15
 #: Reference sets (by the shingles' hashes) with which each set's overlap is counted, up to 255, in eight counts a word.
 PIVOTS = 64
-_NAMES = [*(f"w{i}" for i in range(WORDS)), *(f"c{i}" for i in range(PIVOTS // 8))]
+#: Smaller reference sets, with which overlaps are counted up to two, in two bits each: they tell short sets apart.
+FINE = 256
+_NAMES = [*(f"w{i}" for i in range(WORDS)), *(f"c{i}" for i in range(PIVOTS // 8)), *(f"f{i}" for i in range(FINE // 32))]
 _SALTS = np.array([xxhash.xxh64_intdigest(f"word {i}".encode(), seed=SEED) for i in range(WORDS)], np.uint64)
 
 
@@ -100,16 +111,43 @@ def coordinates(grams: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((grams % np.uint64(PIVOTS)).astype(np.int64), minlength=PIVOTS), 255).astype(np.uint8).view("<u8")
 
 
-def leading(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
-    """The first shingles of a set in the common order (how common, then hash): any set as similar as that has one of them among its own first ones."""
+def fine_coordinates(grams: np.ndarray) -> np.ndarray:
+    """Whether at least one and two of the shingles lie in each of FINE disjoint reference sets, as words: two sets differ in as many shingles as bits at least."""
+    counts = np.bincount((grams // np.uint64(PIVOTS) % np.uint64(FINE)).astype(np.int64), minlength=FINE)
+    return np.packbits(np.concatenate([counts > 0, counts > 1]), bitorder="little").view("<u8")
+
+
+def prefix(sizes, similarity: float = SIMILARITY):
+    """How many leading shingles sets of these sizes have: any set as similar as that has one of them among its own."""
+    sizes = np.asarray(sizes, np.int64)
+    return np.where(sizes > 0, sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, 0)
+
+
+def _common(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The counts of the common shingles among these, 0 for others."""
     names, counts = common
-    count = len(grams) - math.ceil(similarity * len(grams) - 1e-9) + 1 if len(grams) else 0
-    if len(names) and len(grams):
-        at = np.minimum(np.searchsorted(names, grams), len(names) - 1)
-        order = np.lexsort((grams, np.where(names[at] == grams, counts[at], 0)))
-    else:
-        order = np.argsort(grams)
-    return grams[order[:count]]
+    if not len(names) or not len(grams):
+        return np.zeros(len(grams), np.int64)
+    at = np.minimum(np.searchsorted(names, grams), len(names) - 1)
+    return np.where(names[at] == grams, counts[at], 0)
+
+
+def leading(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY, count: int | None = None) -> np.ndarray:
+    """The first shingles of a set in a common order (how common, then hash), a prefix of it unless their number is given."""
+    count = int(prefix(len(grams), similarity)) if count is None else count
+    return grams[np.lexsort((grams, _common(grams, common)))[:count]]
+
+
+def sent(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY) -> tuple[np.ndarray, int]:
+    """What a set sends to be counted, and how many of these are drawn: all its shingles under DRAWN that are not common, and
+    the leading ones of the others where those are fewer than its prefix."""
+    drawn = grams[grams < DRAWN]
+    drawn = drawn[_common(drawn, common) == 0]
+    lack = int(prefix(len(grams), similarity)) - len(drawn)
+    if lack <= 0:
+        return drawn & _KEY, len(drawn)
+    others = leading(np.setdiff1d(grams, drawn, assume_unique=True), common, count=lack)
+    return np.concatenate([drawn & _KEY, others & _KEY | _OTHER]), len(drawn)
 
 
 def common_shingles(docs: DataFrame, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -165,51 +203,145 @@ def common_shingles(docs: DataFrame, shingle: int = SHINGLE) -> tuple[np.ndarray
 
 
 def wide_prints(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` (doc_id, h1, h2, text) to those without the text, and id (of the row), n (shingles), leading shingles, fingerprint."""
+    """``docs`` (doc_id, h1, h2, text) to those without the text, and id (of the row), n (shingles), keys (sent), how many are drawn, fingerprint.
+
+    Ids number the rows of a task in blocks of 65,536; a block also ends with BLOCK keys.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 36
+        number, held = TaskContext.get().partitionId() << 36, 0
         for batch in batches:
-            sizes, keys, prints = [], [], np.zeros((batch.num_rows, len(_NAMES)), np.uint64)
+            ids, sizes, drawn, keys, prints = [], [], [], [], np.zeros((batch.num_rows, len(_NAMES)), np.uint64)
             for i, text in enumerate(batch.column(3)):
                 grams = shingles(text.as_py(), shingle)
+                own, count = sent(grams, shared.value, similarity)
+                held = held + len(own) if number & 0xFFFF else len(own)
+                if held > BLOCK and number & 0xFFFF:
+                    number, held = (number | 0xFFFF) + 1, len(own)
+                ids.append(number)
+                number += 1
                 sizes.append(len(grams))
-                keys.append(leading(grams, shared.value, similarity).tobytes())
-                prints[i] = np.concatenate([fingerprint(grams), coordinates(grams)])
-            ids = np.arange(number, number + batch.num_rows, dtype=np.int64)
-            number += batch.num_rows
+                drawn.append(count)
+                keys.append(own.tobytes())
+                prints[i] = np.concatenate([fingerprint(grams), coordinates(grams), fine_coordinates(grams)])
             columns = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in prints.T]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(ids), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), *columns], ["doc_id", "h1", "h2", "id", "n", "keys", *_NAMES]
+                [*batch.columns[:3], pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(drawn, pa.int32()), pa.array(keys, pa.binary()), *columns],
+                ["doc_id", "h1", "h2", "id", "n", "drawn", "keys", *_NAMES],
             )
 
-    schema = f"doc_id {kind}, h1 long, h2 long, id long, n int, keys binary, {', '.join(f'{n} long' for n in _NAMES)}"
+    schema = f"doc_id {kind}, h1 long, h2 long, id long, n int, drawn int, keys binary, {', '.join(f'{n} long' for n in _NAMES)}"
     return docs.select("doc_id", "h1", "h2", "text").mapInArrow(run, schema)
 
 
-def meeting(reps: DataFrame, cell: int = CELL) -> DataFrame:
-    """Rows of distinct texts (id, n, keys, words) to one for each leading shingle that another has too: key, cells, id, n, pos, the keys before it, words."""
+def met_keys(reps: DataFrame, similarity: float = SIMILARITY, most: int = SLICE) -> DataFrame:
+    """Rows of distinct texts (id, n, drawn, keys) to one for each leading shingle that another sent too: key, id, n, pos, those before it.
+
+    Keys are counted by slices of their hash. What more than one document sent goes
+    back to the blocks of ids it came from, where each document's order is then
+    known: drawn ones that nobody else has, those that others have by their counts, the others.
+    """
     before = [f"p{i}" for i in range(PREVIOUS)]
+    total = reps.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
+    slices = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (8 * most)))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(2)]
-            sizes = np.array([len(x) for x in keys], np.int64)
-            ids, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            flat = np.concatenate([np.zeros(0, np.int64), *keys])
-            last = [pa.array(np.roll(flat, i + 1)) for i in range(PREVIOUS)]  # another row's where pos <= i
-            whole = pa.RecordBatch.from_arrays(
-                [pa.array(flat), pa.array(np.repeat(ids, sizes)), pa.array(np.repeat(n, sizes)), pa.array(pos.astype(np.int32)), *last], ["key", "id", "n", "pos", *before]
-            )
-            for at in range(0, whole.num_rows, 1 << 18):
-                yield whole.slice(at, 1 << 18)
+            keys = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(1)]
+            ids, flat = batch.column(0).to_numpy(), np.concatenate([np.zeros(0, np.uint64), *keys])
+            ids = np.repeat(ids, [len(x) for x in keys])
+            part = (flat >> np.uint64(17)) % np.uint64(slices)
+            for block in np.unique(ids >> 16).tolist():
+                own = np.flatnonzero(ids >> 16 == block)
+                own = own[np.argsort(part[own], kind="stable")]
+                entries, p = flat[own] | ids[own].view(np.uint64) & _PLACE, part[own]
+                ends = np.append(np.flatnonzero(p[1:] != p[:-1]) + 1, len(p)).tolist()
+                blobs = [entries[a:b].tobytes() for a, b in zip([0, *ends], ends)]
+                where = pa.array(p[np.array(ends) - 1].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(ends), pa.int64()), where, pa.array(blobs, pa.binary())], ["block", "slice", "e"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, blobs = [], []
+        for batch in batches:
+            blocks += batch.column(0).to_pylist()
+            blobs += [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(2)]
+        if not blobs:
+            return
+        entries, owner = np.concatenate(blobs), np.repeat(np.array(blocks, np.int64), [len(x) for x in blobs])
+        order = np.argsort(entries & ~_PLACE, kind="stable")
+        key = entries[order] & ~_PLACE
+        edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        count = np.diff(np.append(edge, len(key)))
+        count = np.repeat(count, count)
+        order, count = order[count > 1], count[count > 1]
+        entries, owner = entries[order], owner[order]
+        order = np.argsort(owner, kind="stable")
+        entries, owner, count = entries[order], owner[order], np.minimum(count[order], 2**31 - 1).astype(np.int32)
+        for at in range(0, len(owner), 1 << 18):
+            e, o, c = entries[at : at + (1 << 18)], owner[at : at + (1 << 18)], count[at : at + (1 << 18)]
+            ends = np.append(np.flatnonzero(o[1:] != o[:-1]) + 1, len(o)).tolist()
+            spans = list(zip([0, *ends], ends))
+            columns = [pa.array(o[np.array(ends) - 1]), *(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (e, c))]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "e", "c"])
+
+    def ordered(places: np.ndarray, n: np.ndarray, drawn: np.ndarray, ids: np.ndarray, entries: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+        row = np.zeros(1 << 16, np.int64)
+        row[places] = np.arange(len(places))
+        row = row[(entries & _PLACE).astype(np.int64)]
+        key, other = (entries & ~_PLACE).view(np.int64), entries & _OTHER > 0
+        order = np.lexsort((key, count, other, row))
+        row, key, other = row[order], key[order], other[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        known = np.bincount(row[~other], minlength=len(ids))  # drawn ones that others have
+        pos = np.where(other, drawn[row], drawn[row] - known[row] + rank)  # at least
+        keep = pos < prefix(n, similarity)[row]
+        row, key, rank, pos = row[keep], key[keep], rank[keep], pos[keep]
+        last = [pa.array(np.where(rank > i, np.roll(key, i + 1), ids[row] << 1 | 1)) for i in range(PREVIOUS)]  # no key is odd
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row]), pa.array(n[row].astype(np.int32)), pa.array(pos.astype(np.int32)), *last], ["key", "id", "n", "pos", *before])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, docs, found = None, [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if found:
+                ids, n, drawn = np.concatenate(docs, axis=1)
+                whole = ordered(ids & 0xFFFF, n, drawn, ids, *(np.concatenate(x) for x in zip(*found)))
+                for at in range(0, whole.num_rows, 1 << 17):
+                    yield whole.slice(at, 1 << 17)
 
-    keyed = reps.select("id", "n", "keys").mapInArrow(spread, f"key long, id long, n int, pos int, {', '.join(f'{b} long' for b in before)}")
+        for batch in batches:
+            blocks = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if blocks[a] != block:
+                    yield from done()
+                    block, docs, found = blocks[a], [], []
+                part = batch.slice(a, b - a)
+                of_docs = part.filter(part.column(1).is_valid())
+                docs.append(np.stack([of_docs.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3)]))
+                of_keys = part.filter(part.column(4).is_valid())
+                found += [(np.frombuffer(e.as_py(), np.uint64), np.frombuffer(c.as_py(), np.int32)) for e, c in zip(of_keys.column(4), of_keys.column(5))]
+        yield from done()
+
+    blobs = reps.select("id", "keys").mapInArrow(spread, "block long, slice int, e binary").repartitionById(slices, F.col("slice"))
+    shared = blobs.mapInArrow(counted, "block long, e binary, c binary")
+    none = F.lit(None)
+    of_docs = reps.select(F.shiftright("id", 16).alias("block"), "id", "n", "drawn", none.cast("binary").alias("e"), none.cast("binary").alias("c"))
+    of_keys = shared.select("block", none.cast("long").alias("id"), none.cast("int").alias("n"), none.cast("int").alias("drawn"), "e", "c")
+    by_block = of_docs.union(of_keys).repartition("block").sortWithinPartitions("block", F.col("id").isNull())
+    return by_block.mapInArrow(placed, f"key long, id long, n int, pos int, {', '.join(f'{b} long' for b in before)}")
+
+
+def meeting(reps: DataFrame, cell: int = CELL, similarity: float = SIMILARITY) -> DataFrame:
+    """Rows of distinct texts (id, n, drawn, keys, words) to one for each leading shingle that another has too: key, cells, id, n, pos, the keys before it, words."""
+    before = [f"p{i}" for i in range(PREVIOUS)]
+    keyed = checkpointed(met_keys(reps, similarity))
     sizes = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     cells = sizes.select("key", F.ceil(F.col("size") / cell).cast("long").alias("cells"))
     met = keyed.join(small_or_shuffled(cells, sizes.count(), 16), "key")
@@ -226,7 +358,7 @@ def candidates(met: DataFrame, similarity: float = SIMILARITY, roots: DataFrame
     """
     likely, most = limits(similarity)
     previous = 0 if forest else previous
-    fixed = 8 + previous
+    fixed, words = 8 + previous, _NAMES[:WORDS] if forest else _NAMES
     met = met.withColumn("root", F.col("id")) if roots is None else met.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
     part = F.pmod(F.xxhash64("id"), F.col("cells"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
@@ -238,7 +370,8 @@ def candidates(met: DataFrame, similarity: float = SIMILARITY, roots: DataFrame
     def compared(keys: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Whole groups, sorted; in those of two cells only pairs of different parts are compared."""
         n = len(keys)
-        table = np.ascontiguousarray(prints[:, WORDS:]).astype("<u8").view(np.uint8).reshape(n, PIVOTS)
+        coarse, fine = slice(WORDS, WORDS + PIVOTS // 8), slice(WORDS + PIVOTS // 8, None)
+        table = None if forest else np.ascontiguousarray(prints[:, coarse]).astype("<u8").view(np.uint8).reshape(n, PIVOTS)
         group = np.cumsum(np.append(0, (keys[1:, :3] != keys[:-1, :3]).any(axis=1)))
         across, part, ids, size, pos, own = keys[:, 1] != keys[:, 2], keys[:, 3], keys[:, 4], keys[:, 5], keys[:, 6], keys[:, 7]
         ends = np.append(np.flatnonzero(group[1:] != group[:-1]), n - 1)
@@ -267,13 +400,16 @@ def candidates(met: DataFrame, similarity: float = SIMILARITY, roots: DataFrame
             else:
                 near = (bits <= most) | (np.minimum(size[i], size[j]) < SHORT)
                 i, j = i[near], j[near]
+                apart = np.bitwise_count(prints[i, fine] ^ prints[j, fine]).sum(axis=1, dtype=np.int64)
+                near = apart * (1 + similarity) <= (1 - similarity) * (size[i] + size[j]) + 1e-6
+                i, j = i[near], j[near]
                 apart = np.abs(table[i].astype(np.int16) - table[j]).sum(axis=1, dtype=np.int64)
                 near = apart * (1 + similarity) <= (1 - similarity) * (size[i] + size[j]) + 1e-6
                 i, j = i[near], j[near]
                 known = np.zeros(len(i), bool)
                 for x in range(previous):
                     for y in range(previous):
-                        known |= (pos[i] > x) & (pos[j] > y) & (keys[i, 8 + x] == keys[j, 8 + y])
+                        known |= keys[i, 8 + x] == keys[j, 8 + y]
                 i, j = i[~known], j[~known]
             found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]))
             held += len(i)
@@ -284,12 +420,12 @@ def candidates(met: DataFrame, similarity: float = SIMILARITY, roots: DataFrame
             yield pairs(*np.concatenate(found, axis=1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, prints = np.zeros((0, fixed), np.int64), np.zeros((0, len(_NAMES)), np.uint64)
+        keys, prints = np.zeros((0, fixed), np.int64), np.zeros((0, len(words)), np.uint64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.concatenate([keys, np.stack([batch.column(c).to_numpy() for c in range(fixed)], axis=1)])
-            prints = np.concatenate([prints, np.stack([batch.column(fixed + i).to_numpy() for i in range(len(_NAMES))], axis=1).view(np.uint64)])
+            prints = np.concatenate([prints, np.stack([batch.column(fixed + i).to_numpy() for i in range(len(words))], axis=1).view(np.uint64)])
             change = np.flatnonzero((keys[1:, :3] != keys[:-1, :3]).any(axis=1))  # the last group may go on in the next batch
             if len(change):
                 whole = int(change[-1]) + 1
@@ -298,7 +434,7 @@ def candidates(met: DataFrame, similarity: float = SIMILARITY, roots: DataFrame
         if len(keys):
             yield from compared(keys, prints)
 
-    groups = rows.select("key", "a", "b", "part", "id", F.col("n").cast("long"), F.col("pos").cast("long"), "root", *[f"p{i}" for i in range(previous)], *_NAMES)
+    groups = rows.select("key", "a", "b", "part", "id", F.col("n").cast("long"), F.col("pos").cast("long"), "root", *[f"p{i}" for i in range(previous)], *words)
     dealt = groups.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "part", "id")
     return dealt.mapInArrow(run, "u long, v long").select("u", "v").distinct()
 
@@ -353,7 +489,7 @@ def linked_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     several = texts.where("rows > 1").select("h1", "h2", F.col("best.id").alias("stays"))
     copies = checkpointed(prints.select("h1", "h2", "id").join(small_or_shuffled(several, several.count(), 32), ["h1", "h2"]).where("id <> stays").select("id"))
     reps = prints.join(small_or_shuffled(copies, copies.count(), 16), "id", "left_anti")
-    met = meeting(reps, cell)
+    met = meeting(reps, cell, similarity)
 
     def verified(pairs: DataFrame) -> DataFrame | None:
         pairs = checkpointed(pairs)
