@@ -252,6 +252,28 @@ def test_shingles_of_few_documents_bring_none_together(spark):
     assert simhash_wide.meeting(prints).count() == 0
 
 
+@pytest.mark.parametrize("cell, held, each", [(simhash_wide.CELL, 1 << 20, 4), (40, 400, 12)])
+def test_near_copies_at_the_limit_cost_a_few_pairs_each(spark, monkeypatch, cell, held, each):
+    """Most pairs of one group lie between 0.76 and 0.82, where few look like likely links: not all of them are verified."""
+    rng = random.Random(16)
+    words = [f"v{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(i, " ".join(edited(rng, words, 2 + i % 3)), "en", "s", 0) for i in range(150)]
+    made, candidates = [], simhash_wide.candidates
+
+    def counted(*args, **how):
+        pairs = candidates(*args, **how)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(simhash_wide, "candidates", counted)
+    monkeypatch.setattr(simhash_wide, "_HELD", held)
+    hashed = docs(spark, rows).withColumns(simhash_wide._hashed(F.col("text")))
+    _, classes = simhash_wide.linked_classes(hashed, cell=cell)
+    roots = classes.groupBy("root").agg(F.min("best.doc_id").alias("d")).collect()
+    assert {r.d for r in roots} == survivors(rows)
+    assert sum(made) <= each * len(rows), made
+
+
 @pytest.mark.parametrize("block, most", [(1 << 20, 1 << 22), (100, 50)])
 def test_links_in_any_blocks_and_slices(spark, monkeypatch, block, most):
     monkeypatch.setattr(simhash_wide, "BLOCK", block)

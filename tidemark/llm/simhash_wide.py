@@ -20,8 +20,8 @@ by more than such a pair's shingles can (for certain). The survivors are decided
 by their whole shingle sets. No link is made without that. Verification runs in three
 rounds: for a spanning forest of likely links among the documents that have
 their smallest or largest shared key in common, for one over the components
-that each key has then, and last for all pairs that are in different components
-still. So a group of near copies costs two links for each, not all pairs. Large groups are cut into cells, each pair of cells being
+that each key has then, of all that may be similar and the nearest first, and last for all pairs that are in different
+components still. So a group of near copies costs a few links for each, not all pairs, also where most are barely similar enough. Large groups are cut into cells, each pair of cells being
 a task's group of its own. Per document the shuffles carry 8 bytes for three eighths of its shingles, whatever the number
 of documents, and a key and the three before it for each leading one that is shared; by these a pair is named once, not at every key it shares.
 """
@@ -348,16 +348,33 @@ def meeting(reps: DataFrame, cell: int = CELL, similarity: float = SIMILARITY) -
     return checkpointed(met.join(reps.select("id", *_NAMES), "id").select("key", "cells", "id", "n", "pos", *before, *_NAMES))
 
 
-def candidates(met: DataFrame, similarity: float = SIMILARITY, roots: DataFrame | None = None, forest: bool = True, previous: int = PREVIOUS) -> DataFrame:
+def _spanning(parent: np.ndarray, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Which of the edges make a spanning forest over the components of ``parent``, the nearest ones first."""
+    parent, left, taken = parent.copy(), np.lexsort((j, i, far)), np.zeros(len(i), bool)
+    while len(left):
+        a, b = _roots(parent, i[left]), _roots(parent, j[left])
+        apart = a != b
+        left, ends = left[apart], np.stack([a[apart], b[apart]], axis=1).ravel()
+        nearest = left[np.unique(np.unique(ends, return_index=True)[1] // 2)]
+        taken[nearest] = True
+        _unite(parent, i[nearest], j[nearest])
+    return np.flatnonzero(taken)
+
+
+def candidates(
+    met: DataFrame, similarity: float = SIMILARITY, roots: DataFrame | None = None, forest: bool = True, previous: int = PREVIOUS, nearest: bool = False
+) -> DataFrame:
     """Pairs (u, v) of rows of ``met`` with a common key, in different components by ``roots`` (node, root; without it each is its own).
 
     With ``forest`` those of a spanning forest of the likely ones over each
-    group's components, at most one less than these; else all that may be similar,
+    group's components, at most one less than these; with ``nearest`` those of a forest
+    of all that may be similar, at most as many, by how far apart they seem; else all that may be similar,
     each where it meets first and not again at keys whose ``previous`` ones it shares
     (what is tested there is at least as lenient, so that none is lost).
     """
     likely, most = limits(similarity)
-    previous = 0 if forest else previous
+    forest = forest and not nearest
+    previous = 0 if forest or nearest else previous
     fixed, words = 8 + previous, _NAMES[:WORDS] if forest else _NAMES
     met = met.withColumn("root", F.col("id")) if roots is None else met.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
     part = F.pmod(F.xxhash64("id"), F.col("cells"))
@@ -380,6 +397,12 @@ def candidates(met: DataFrame, similarity: float = SIMILARITY, roots: DataFrame
         parent = first[inverse.ravel()]  # rows of one component are united from the start
         root, active = parent.copy(), np.arange(n)
         found, held = [], 0
+
+        def thinned(found: list[np.ndarray]) -> list[np.ndarray]:
+            edges = np.concatenate(found, axis=1)
+            i, j = edges[:2].astype(np.int64)
+            return [edges[:, _spanning(parent, i, j, edges[2])]]
+
         for step in range(1, int(follow.max(initial=0)) + 1):
             active = active[follow[active] >= step]
             i = active[(root[active] != root[active + step]) & (~across[active] | (part[active] != part[active + step]))]
@@ -399,13 +422,20 @@ def candidates(met: DataFrame, similarity: float = SIMILARITY, roots: DataFrame
                 root = _roots(parent, np.arange(n))
             else:
                 near = (bits <= most) | (np.minimum(size[i], size[j]) < SHORT)
-                i, j = i[near], j[near]
+                i, j, bits = i[near], j[near], bits[near]
                 apart = np.bitwise_count(prints[i, fine] ^ prints[j, fine]).sum(axis=1, dtype=np.int64)
                 near = apart * (1 + similarity) <= (1 - similarity) * (size[i] + size[j]) + 1e-6
+                far = bits[near] / most + apart[near] / (size[i[near]] + size[j[near]])
                 i, j = i[near], j[near]
                 apart = np.abs(table[i].astype(np.int16) - table[j]).sum(axis=1, dtype=np.int64)
                 near = apart * (1 + similarity) <= (1 - similarity) * (size[i] + size[j]) + 1e-6
-                i, j = i[near], j[near]
+                i, j, far = i[near], j[near], far[near]
+                if nearest:
+                    held += len(i)
+                    found.append(np.stack([i, j, far]))
+                    if held > _HELD // 4:
+                        found, held = thinned(found), 0
+                    continue
                 known = np.zeros(len(i), bool)
                 for x in range(previous):
                     for y in range(previous):
@@ -416,6 +446,9 @@ def candidates(met: DataFrame, similarity: float = SIMILARITY, roots: DataFrame
             if held > _HELD:
                 yield pairs(*np.concatenate(found, axis=1))
                 found, held = [], 0
+        if nearest and found:
+            i, j = thinned(found)[0][:2].astype(np.int64)
+            found = [np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])])]
         if found:
             yield pairs(*np.concatenate(found, axis=1))
 
@@ -503,8 +536,8 @@ def linked_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     ends = met.groupBy("id").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     few = met.join(ends, "id").where("key = low or key = high").drop("low", "high")
     roots = None
-    for rows, forest in ((few, True), (met, True), (met, False)):
-        found = verified(candidates(rows, similarity, roots, forest))
+    for rows, how in ((few, {}), (met, {"nearest": True}), (met, {"forest": False})):
+        found = verified(candidates(rows, similarity, roots, **how))
         if found is not None:
             roots = checkpointed(components(found if roots is None else roots.toDF("u", "v").union(found)))
     if roots is None:
